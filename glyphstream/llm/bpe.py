@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 END = "</w>"
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
 #: White space of the tokenizer's pattern, by its Unicode property.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z]+")
@@ -150,7 +150,7 @@ class Coder:
             self.spelled.clear()
         if len(self.word_ids) > WORDS_KEPT:
             self.word_ids.clear()
-        for chunk in set(chunks) - self.known.keys():
+        for chunk in [c for c in set(chunks) if c not in self.known]:
             words = (ASCII_WORD if chunk.isascii() else ANY_WORD).findall(chunk)
             ids = [i for w in words for i in self.word(w)]
             self.known[chunk] = " ".join(map(str, ids))
