@@ -16,6 +16,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licence import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -23,6 +29,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence": op1_licence,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
 }
