@@ -35,6 +35,12 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify_quality
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence": op1_licence,
     "op2_minhash": op2_minhash,
     "op4_repeats": op4_repeats,
+    "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
