@@ -3,7 +3,7 @@
 Tokens are words and the beginnings of words, so that inflected and unseen forms share
 what is known of their stem. A token's score is its log-odds between toxic and other
 labelled documents, with an informative Dirichlet prior (the counts of both together),
-and nothing where that is below Z_LEAST standard errors. A word scores like the token of it
+and nothing where that is below Z_LEAST standard errors or below EFFECT. A word scores like the token of it
 that is surest. All other words cost DRIFT, so that the expected score is negative. A linear scan finds every maximal segment of a
 text. Scores of the best segments of random text follow an extreme-value law; its
 parameters, taken from the labelled documents that aren't toxic, turn a segment's score
@@ -30,7 +30,9 @@ from .words import PLAIN, numbered
 SAMPLE_ROWS = 16000
 #: Tokens with a score of their own at most, those of the largest |z|.
 LEXICON = 50_000
-PRIOR, Z_LEAST, LEAST_DOCS, DRIFT = 0.05, 4.0, 4, 0.05
+PRIOR, Z_LEAST, LEAST_DOCS, DRIFT = 0.05, 4.0, 5, 0.05
+#: Log-odds below this aren't evidence, however sure they are.
+EFFECT = 3.0
 #: Letters of a word's beginnings that are tokens of their own.
 STEMS = (3, 4, 5, 6)
 WORDS_KEPT = 400_000
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     delta, z = log_odds(toxic, other)
     delta, z = delta[:-1], z[:-1]
     names = own["token"].to_numpy(np.int64).view(np.uint64)
-    keep = np.flatnonzero(np.abs(z) >= Z_LEAST)
+    keep = np.flatnonzero((np.abs(z) >= Z_LEAST) & (np.abs(delta) >= EFFECT))
     keep = keep[np.lexsort((names[keep], -np.abs(z[keep])))][:LEXICON]
     model = Model({int(names[i]): (float(max(delta[i], -1.0)), float(z[i])) for i in keep})
 
