@@ -47,6 +47,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .outliers import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repeats": op4_repeats,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_outliers": op7_outliers,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
 }
