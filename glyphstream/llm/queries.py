@@ -53,6 +53,12 @@ def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_documents
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_outliers": op7_outliers,
+    "op8_pages": op8_pages,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
 }
