@@ -119,7 +119,8 @@ def parse_segment(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]
     first = starts[new]
     last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     phrase = mixed((sums[last + LENGTH] - sums[first]) * back[first] + (last - first).astype(np.uint64))
-    return grams[own[new]] >> np.uint64(64 - TRIGGER_BITS), phrase >> np.uint64(64 - PHRASE_BITS), first, last, own[new]
+    # Least hashes are small numbers: mixed again, they are dealt evenly.
+    return mixed(grams[own[new]] + np.uint64(1)) >> np.uint64(64 - TRIGGER_BITS), phrase >> np.uint64(64 - PHRASE_BITS), first, last, own[new]
 
 
 class Chunk:
