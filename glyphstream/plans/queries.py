@@ -210,13 +210,13 @@ def overlap_argmax_join(spark, d):
     return intervals.best_overlap(pairs, ["event_id"], ["other_id"]).select("stream_id", "event_id", "other_id", "overlap_us")
 
 
-@query(OBS_SQL + ", e AS (SELECT * FROM obs WHERE text = 'error') SELECT e.event_id, e.stream_id, (SELECT max(v.t_us) FROM obs v WHERE v.text = 'view' AND v.stream_id = e.stream_id AND v.t_us <= e.t_us) AS before_us, (SELECT min(v.t_us) FROM obs v WHERE v.text = 'view' AND v.stream_id = e.stream_id AND v.t_us >= e.t_us) AS after_us FROM e")
+@query(OBS_SQL + ", e AS (SELECT * FROM obs WHERE text = 'error') SELECT e.event_id, e.stream_id, coalesce((SELECT max(v.t_us) FROM obs v WHERE v.text = 'view' AND v.stream_id = e.stream_id AND v.t_us <= e.t_us), -1) AS before_us, coalesce((SELECT min(v.t_us) FROM obs v WHERE v.text = 'view' AND v.stream_id = e.stream_id AND v.t_us >= e.t_us), -1) AS after_us FROM e")
 def asof_flank(spark, d):
     o = obs_view(spark, d)
     e = o.where("text = 'error'").select("event_id", "stream_id", "t_us")
     v = o.where("text = 'view'").select("stream_id", "t_us", F.col("t_us").alias("before_us"), F.col("t_us").alias("after_us"))
     got = intervals.asof(e, v.drop("after_us"), ["stream_id"], "t_us", "before_us")
-    return intervals.asof(got, v.drop("before_us"), ["stream_id"], "t_us", "after_us", backward=False).select("event_id", "stream_id", "before_us", "after_us")
+    return intervals.asof(got, v.drop("before_us"), ["stream_id"], "t_us", "after_us", backward=False).select("event_id", "stream_id", F.coalesce("before_us", F.lit(-1)).alias("before_us"), F.coalesce("after_us", F.lit(-1)).alias("after_us"))
 
 
 @query(OBS_SQL + " SELECT a.stream_id, count(*) AS n_pairs, CAST(sum(least(a.t_end, b.t_end) - greatest(a.t_start, b.t_start)) AS BIGINT) AS overlap_us FROM obs a JOIN obs b ON a.stream_id = b.stream_id AND a.text = 'signup' AND b.text = 'click' AND least(a.t_end, b.t_end) > greatest(a.t_start, b.t_start) GROUP BY 1")

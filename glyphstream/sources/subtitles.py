@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.times import ass_time, srt_time
 
-OBS = T.StructType.fromDDL("frame long, t_us long, box array<double>, text string, conf double")
+OBS = "frame long, t_us long, box array<double>, text string, conf double"
 STAMP = r"(\d+):(\d+):(\d+)[,.](\d+)"
 
 
