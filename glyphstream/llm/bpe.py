@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 END = "</w>"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 #: White space of the tokenizer's pattern, by its Unicode property.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z]+")
@@ -59,12 +59,20 @@ class Automaton:
     """Transitions between labels. merges: pairs of labels by rank."""
 
     def __init__(self, merges: list[tuple[str, str]]):
-        self.rank = {pair: k for k, pair in enumerate(merges)}
-        self.parts = {u + v: (k, u, v) for k, (u, v) in enumerate(merges)}
-        if len(self.parts) != len(merges):
+        made = {u + v for u, v in merges}
+        if len(made) != len(merges):
             raise ValueError("two merges make the same token")
-        self.longest = max([1, *(len(x.removesuffix(END)) for x in self.parts)])
+        self.rank: dict[tuple[str, str], int] = {}
+        self.parts: dict[str, tuple[int, str, str]] = {}
+        for k, (u, v) in enumerate(merges):
+            # A merge whose parts never stand together by then puts nothing on the automaton.
+            if all(x not in made or x in self.parts for x in (u, v)) and self._follow(u, v):
+                self.rank[u, v] = k
+                self.parts[u + v] = (k, u, v)
+        self.tails = {x[i:] for x in self.parts for i in range(1, len(x))} | set(self.parts)
         self.arcs: dict[tuple[str, str], bool] = {}
+        #: For beginnings of words, where their last token starts.
+        self.begun: dict[str, int] = {}
 
     def _follow(self, a: str, b: str) -> bool:
         when = NEVER
@@ -83,7 +91,7 @@ class Automaton:
         """Whether the state after label a has an arc with label b."""
         got = self.arcs.get((a, b))
         if got is None:
-            if len(self.arcs) > 4 * WORDS_KEPT:
+            if len(self.arcs) > WORDS_KEPT:
                 self.arcs.clear()
             got = self.arcs[a, b] = self._follow(a, b)
         return got
@@ -93,13 +101,31 @@ class Automaton:
         n = len(symbols)
         token: list[str] = [""] * (n + 1)
         start = [0] * (n + 1)
-        parts, arc = self.parts, self.arc
+        parts, arc, tails = self.parts, self.arc, self.tails
+        if len(self.begun) > WORDS_KEPT:
+            self.begun.clear()
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                x = symbols[i:j] + end if j == n else symbols[i:j]
-                if (j - i == 1 or x in parts) and (i == 0 or (token[i] and arc(token[i], x))):
-                    token[j], start[j] = x, i
+            own = symbols[:j]
+            if j == n:
+                own += end
+            else:
+                # Words that begin alike run through the same transitions.
+                i = self.begun.get(own)
+                if i is not None:
+                    start[j], token[j] = i, own[i:]
+                    continue
+            i, found = j - 1, [j - 1]
+            # Longer tokens end like shorter tails, so the first string that ends no token ends the search.
+            while i > 0 and own[i - 1 :] in tails:
+                i -= 1
+                if own[i:] in parts:
+                    found.append(i)
+            for i in reversed(found):
+                if i == 0 or arc(token[i], own[i:]):
+                    token[j], start[j] = own[i:], i
                     break
+            if j < n:
+                self.begun[own] = start[j]
         out, j = [], n
         while j:
             out.append(token[j])
@@ -112,11 +138,12 @@ def explicit_automaton(symbols: list[str], merges: list[tuple[str, str]]) -> tup
     arcs: list[set[str]] = [set(symbols)]
     after = dict.fromkeys(symbols, 0)
     for u, v in merges:
-        p, uv = after[u], u + v
+        if u not in after or v not in after or v not in arcs[after[u]]:
+            continue
+        uv = u + v
         after[uv] = after[v]
-        if v in arcs[p]:
-            arcs.append(arcs[p] - {v})
-            after[u] = len(arcs) - 1
+        arcs.append(arcs[after[u]] - {v})
+        after[u] = len(arcs) - 1
         for own in arcs:
             if u in own:
                 own.add(uv)
@@ -134,13 +161,14 @@ class Coder:
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, str] = {}
         self.spelled: dict[str, str] = {}
-        self.word_ids: dict[str, list[int]] = {}
+        self.of_word: dict[str, tuple[str, str]] = {}
 
-    def word(self, word: str) -> list[int]:
-        got = self.word_ids.get(word)
+    def word(self, word: str) -> tuple[str, str]:
+        """The ids and the labels of a word, each joined by one space."""
+        got = self.of_word.get(word)
         if got is None:
-            symbols = word.encode().decode("latin-1").translate(LETTERS)
-            got = self.word_ids[word] = [self.ids[x] for x in self.automaton.path(symbols)]
+            path = self.automaton.path(word.encode().decode("latin-1").translate(LETTERS))
+            got = self.of_word[word] = " ".join([str(self.ids[x]) for x in path]), " ".join(path)
         return got
 
     def _learn(self, chunks: list[str]) -> None:
@@ -148,13 +176,11 @@ class Coder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
             self.spelled.clear()
-        if len(self.word_ids) > WORDS_KEPT:
-            self.word_ids.clear()
+        if len(self.of_word) > WORDS_KEPT:
+            self.of_word.clear()
         for chunk in [c for c in set(chunks) if c not in self.known]:
             words = (ASCII_WORD if chunk.isascii() else ANY_WORD).findall(chunk)
-            ids = [i for w in words for i in self.word(w)]
-            self.known[chunk] = " ".join(map(str, ids))
-            self.spelled[chunk] = " ".join([self.labels[i] for i in ids])
+            self.known[chunk], self.spelled[chunk] = self.word(words[0]) if len(words) == 1 else map(" ".join, zip(*map(self.word, words), strict=True))
 
     def _piece(self, piece: str) -> tuple[str, str]:
         """A text without special tokens. No token crosses white space, so whole chunks are looked up."""

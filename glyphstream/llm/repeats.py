@@ -173,6 +173,8 @@ def bucket_of(trigger: np.ndarray, n: int) -> np.ndarray:
 
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """bucket ascends."""
+    if not len(bucket):
+        return
     own, first = np.unique(bucket, return_index=True)
     for b, lo, hi in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
         yield b, slice(lo, hi)

@@ -35,7 +35,7 @@ PRIOR, Z_LEAST, LEAST_DOCS, DRIFT = 0.05, 4.0, 5, 0.05
 EFFECT = 3.0
 #: Letters of a word's beginnings that are tokens of their own.
 STEMS = (3, 4, 5, 6)
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -17,7 +17,7 @@ except ImportError:
 
 #: Lower-case Latin letters, digits and all that isn't ASCII.
 PLAIN = re.compile(rb"[0-9a-z\x80-\xff]+")
-KEPT = 400_000
+KEPT = 200_000
 
 
 class Numbers(dict):
