@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 40) -> DataFrame:
     """nodes (keys, id) with component, the least id reachable within the key. Labels halve their distance each round by jumping."""
     both = edges.select(*keys, F.col("a").alias("id"), F.col("b").alias("near")).unionByName(edges.select(*keys, F.col("b").alias("id"), F.col("a").alias("near"))).distinct()
-    now = nodes.select(*keys, "id", F.col("id").alias("component")).checkpoint()
+    now = checkpointed(nodes.select(*keys, "id", F.col("id").alias("component")))
     for _ in range(rounds):
         seen = both.join(now.select(*keys, F.col("id").alias("near"), "component"), [*keys, "near"]).groupBy(*keys, "id").agg(F.min("component").alias("_c"))
         after = now.join(seen, [*keys, "id"], "left").withColumn("component", F.least("component", "_c")).drop("_c")
         jump = now.select(*keys, F.col("id").alias("component"), F.col("component").alias("_j"))
-        after = after.join(jump, [*keys, "component"], "left").withColumn("component", F.least("component", "_j")).select(*keys, "id", "component").checkpoint()
+        after = checkpointed(after.join(jump, [*keys, "component"], "left").withColumn("component", F.least("component", "_j")).select(*keys, "id", "component"))
         changed = after.exceptAll(now).limit(1).count()
         now = after
         if not changed:

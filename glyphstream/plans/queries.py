@@ -11,7 +11,6 @@ from ..functions import geometry as G
 from ..functions import texts as X
 from ..functions import times as T
 from ..operators import audit, graph, intervals, regions, retrieval, runs
-from ..sources.scratch import scratch
 
 HOUR = 3600 * T.SECOND
 SAMPLE = 6 * HOUR
@@ -244,8 +243,6 @@ def connected_components(spark, d):
     # Event ids have no holes, so the next event is found by an equi-join and not by one global sort.
     nxt = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("n"))
     edges = e.where("value > 250").join(nxt, "event_id").select(F.lit(0).alias("g"), F.col("user_id").alias("a"), F.col("n").alias("b"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch(spark, "components"))
     return graph.components(e.select(F.lit(0).alias("g"), F.col("user_id").alias("id")).distinct(), edges, ["g"]).select("id", "component")
 
 

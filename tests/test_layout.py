@@ -45,3 +45,14 @@ def test_markup(spark):
     assert list(got[0])[:3] == ["Hi,, you", "#aabbcc", "aab"] and got[1][1] is None
     assert markup.wrapped("one two three", 4.0) == ["one two", "three"]
     assert markup.wrapped("日本語。日本", 3.0) == ["日本語。", "日本"]
+
+
+def test_claims_go_by_passes(spark):
+    from glyphstream.operators import claims
+
+    script = ["first line here", "a second longer line", "the third line of all is being typed", "fourth: middle parts are long enough to see", "abc", "last line of it"]
+    said = ["first line here", "a second longer line and more", "the third line", "middle parts are long enough", "abd", "last line of it"]
+    lines = spark.createDataFrame([(1, k, 0, 1000, t) for k, t in enumerate(script)], "unit long, line long, lo long, hi long, text string")
+    cues = spark.createDataFrame([(1, k, 10 * k, t) for k, t in enumerate(said)], "unit long, cue long, t_start long, said string")
+    got = {(r.cue, r.line): r.how for r in claims.claim(cues, lines).collect()}
+    assert got == {(0, 0): "exact", (1, 1): "contained", (2, 2): "prefix", (3, 3): "infix", (4, 4): "flanked", (5, 5): "exact"}
