@@ -8,35 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm import bpe, mixing, neardup, quality, repeats
-from glyphstream.llm.store import cut, table
+from glyphstream.llm.store import cut, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine rejects go."""
+    small_batches(spark)
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, machine).where("predicted = 1").select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays; rows without an id stay."""
+    small_batches(spark)
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(cut(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a smaller id has go from the texts; n_chars follows. Every document stays."""
+    small_batches(spark)
     out = repeats.remove_repeats(docs)
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 3 times."""
+    small_batches(spark)
     mixed = mixing.mix(docs).where("copies > 0")
     return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of ids and decoded text, a row for each row of the mix."""
+    small_batches(spark)
     return bpe.encode_documents(docs)
 
 

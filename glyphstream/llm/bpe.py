@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 END = "</w>"
-WORDS_KEPT = 200_000
+WORDS_KEPT = 120_000
 #: White space of the tokenizer's pattern, by its Unicode property.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z]+")
