@@ -5,11 +5,12 @@ are split into chunks. Two signatures that differ in at most THRESHOLD positions
 by the pigeonhole principle, a chunk in which at most one position differs; every
 chunk is therefore looked up with each of its positions left out in turn, which
 enumerates the chunk errors allowed. All pairs within the signature distance share a
-key. (Of pairs with a similarity of 0.85, the chance to share none is about 1e-9.)
+key. (The chance to share none is about 1e-9 for pairs with a similarity of 0.85, and about
+3e-7 at 0.80.)
 
 Keys that one set alone has are dropped. What is left is thinned by an exact bound: a
-set linked to another shares 85 % of its shingles with it, so a set with over 15 %
-of its shingles found in no other candidate goes. Sets that keys connect, directly or
+set linked to another shares `percent` of its shingles with it, so a set with fewer
+of its shingles found in other candidates goes. Sets that keys connect, directly or
 through others, form a family. A family is cut into blocks of bounded size, and each
 pair of blocks counts intersections of full sets by matrix products in one task, which
 returns only a spanning forest of the links: no pair leaves the task otherwise.
@@ -147,8 +148,8 @@ def _links(families: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs.
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs; sets with a similarity of `percent` or more are linked.
 
     docs needs doc_id and text; other columns are dropped. Rows with equal shingle sets are
     one class and enter the search once. A null, empty or blank text has no shingles and is

@@ -25,7 +25,7 @@ def op1_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

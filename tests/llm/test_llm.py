@@ -126,6 +126,18 @@ def test_variants_of_one_text(spark):
     assert got[1001] == 1001 and {v for k, v in got.items() if k != 1001} == {0}
 
 
+def test_pairs_at_four_fifths_are_linked_unless_more_is_asked(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base)), (2, " ".join("x" if i in (20, 60, 100, 140) else w for i, w in enumerate(base)))]
+    a, b = (set(shingles.shingle_set(t).tolist()) for _, t in rows)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    two = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, two, "").collect()] == [1]
+    assert {r.component_id for r in neardup.near_duplicates(two, percent=85).collect()} == {1, 2}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (7, 7)], "a long, b long")
     assert {r.id: r.component for r in links.components(edges, "a", "b").collect()} == {5: 1, 4: 1, 3: 1, 1: 1, 9: 8, 8: 8}
