@@ -2,7 +2,7 @@
 
 A page is read into a tree. Each container's subtree gets a hash of its tag, class,
 text and children. Spark counts, for every host, on how many pages with different text
-a subtree stands; those on many pages are the site's template and are deleted, as are
+a subtree stands; those on LEAST_PAGES or more are the site's template and are deleted, as are
 elements that say by tag, class or role that they aren't the article. The article's own
 paragraphs are never deleted for recurring: sites quote themselves.
 """
@@ -42,8 +42,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 BROKEN = re.compile(r"<[a-zA-Z/!?]")
 WORD = re.compile(r"[a-z]+")
-#: Pages of a host with different text on which a subtree stands to be template: this many, and this share.
-LEAST_PAGES, SHARE = 4, 0.02
+#: Pages of a host with different text on which a subtree stands to be template, however many pages the host has.
+LEAST_PAGES = 4
 
 
 @dataclass
@@ -190,7 +190,7 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text and n_chars for each page.
 
     pages needs page_id, url and html; other columns are dropped. Null or empty html gives an
@@ -207,10 +207,8 @@ def extract_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHAR
     trees = rows.select("_host", "_row", "html").mapInPandas(read, "_host string, _row long, whole long, names array<long>")
     trees = cut(trees, "trees")
     one = trees.groupBy("_host", "whole").agg(F.first("names").alias("names"))
-    sizes = one.groupBy("_host").agg(F.count("*").alias("n_pages"))
     each = one.select("_host", "whole", F.explode("names").alias("name"))
-    often = each.groupBy("_host", "name").agg(F.count("*").alias("n")).join(sizes, "_host")
-    often = often.where((F.col("n") >= least) & (F.col("n") >= share * F.col("n_pages"))).select("_host", "name")
+    often = each.groupBy("_host", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("_host", "name")
     # A page's own subtrees bound what is collected for it.
     hits = each.join(often, ["_host", "name"]).groupBy("_host", "whole").agg(F.collect_set("name").alias("template"))
     hits = trees.select("_host", "whole", "_row").distinct().join(hits, ["_host", "whole"]).select("_row", "template")

@@ -258,6 +258,14 @@ def test_site_templates_go_and_articles_stay(spark):
     assert got[3] == "Unique 3 & text more Shared line" and got[25] == "Story 5" and got[90] == "" and got[91] == "a bc d < e"
 
 
+def test_a_recurring_block_goes_from_a_host_of_any_size(spark):
+    """A block on 40 of 4,000 pages, one on 4 and one on 3."""
+    block = lambda k: "<div>Strike on Monday</div>" * (k < 40) + "<div>Section links</div>" * (40 <= k < 44) + "<div>Own words</div>" * (44 <= k < 47)
+    rows = [(k, "http://big.example.org/", f"<body>{block(k)}<p>Story {k}</p></body>") for k in range(4000)]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "Own words " * (44 <= k < 47) + f"Story {k}" for k in range(4000)}
+
+
 def test_bpe_equals_the_library(docs, results):
     from tokenizers import Tokenizer
 
