@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,21 @@ RANK = 8
 WORD_BUCKETS, BINS = 1 << 14, 16
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """str.isalpha of each code point."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def letters_in(text: str) -> int:
+    """Letters of the whole text; parts bound the memory."""
+    parts = (text[at : at + 65536].encode("utf-32-le", "surrogatepass") for at in range(0, len(text), 65536))
+    return sum(int(np.count_nonzero(_is_letter()[np.frombuffer(x, np.uint32)])) for x in parts)
+
+
 def statistics(text: str, numbers: np.ndarray) -> list[float]:
     """Numbers of about 0 to 1 each, from the text alone."""
     n, chars = len(numbers), max(1, len(text))
-    letters = sum(map(str.isalpha, text[:: max(1, chars // 4096)])) * max(1, chars // 4096)
     lines = max(1, text.count("\n") + 1)
     return [
         min(1.0, np.log1p(n) / 10),
@@ -39,7 +51,7 @@ def statistics(text: str, numbers: np.ndarray) -> list[float]:
         min(1.0, 2 * text.count("|") / max(1, n)),
         min(1.0, 4 * text.count("!") / chars),
         min(1.0, 8 * (text.count(".") + text.count(",")) / max(1, n)),
-        min(1.0, letters / chars),
+        letters_in(text) / chars,
         min(1.0, len(np.unique(numbers)) / max(1, n)),
         min(1.0, 4 * shape.lines_again(text) / lines),
         min(1.0, shape.words_again(numbers) / max(1, n)),

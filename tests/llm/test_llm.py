@@ -224,6 +224,11 @@ def test_held_out_accuracy(spark, operator, label):
     assert auc > (0.9 if label == "toxic" else 0.97)
 
 
+def test_letters_are_counted_over_the_whole_text():
+    for text in ("a1" * 5000, "a1é2ß\n" * 40_000, "x" * 500_000 + "7" * 500_000):
+        assert quality.statistics(text, np.zeros(1, np.uint64))[6] == sum(map(str.isalpha, text)) / len(text)
+
+
 def test_linear_time_identity():
     random = np.random.default_rng(0)
     m = quality.Machine(0.3, random.normal(size=quality.SIZE).astype(np.float32), random.normal(size=(quality.SIZE, quality.RANK)).astype(np.float32))
