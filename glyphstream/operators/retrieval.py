@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.texts import grams, pieces, similarity
+from ..functions.texts import grams, pieces
 from .intervals import islands
 
 
@@ -45,17 +49,40 @@ def prefix_claims(lines: DataFrame, library: DataFrame, key: int = 8) -> DataFra
 
 
 def ordered_match_of(cues: list[str], lines: list[str], window: int = 10, least: float = 0.5, jump: float = 0.7) -> list[int]:
-    """For each cue the line it reads, or -1: near the cursor first; elsewhere only if that is much surer. The cursor follows."""
+    """For each cue the line it reads, or -1: near the cursor first; elsewhere only if that is much surer. The cursor follows.
+
+    Whole texts are compared: 1 for equal ones, 0.95 if one begins the other, else the ratio of
+    matching blocks over all characters. A ratio is left out only where an upper bound of it,
+    from the lengths or the characters in common, shows that it can't decide.
+    """
+    counts = cache(lambda k: Counter(lines[k]))
+
+    def surest(cue: str, own: Counter, among: range, floor: float) -> tuple[float, int]:
+        """The greatest similarity and the first line that has it; (0, -1) if none comes up to floor."""
+        best, rest = (0.0, 1), []
+        for k in among:
+            line = lines[k]
+            if cue == line or (min(len(cue), len(line)) >= 3 and (cue.startswith(line) or line.startswith(cue))):
+                best = max(best, (1.0 if cue == line else 0.95, -k))
+            elif 2 * min(len(cue), len(line)) >= floor * (len(cue) + len(line)):
+                rest.append(k)
+        bounds = [(2 * (own & counts(k)).total() / (len(cue) + len(lines[k])), -k) for k in rest if (2 * min(len(cue), len(lines[k])) / (len(cue) + len(lines[k])), -k) > best]
+        for bound, k in sorted(bounds, reverse=True):
+            if bound < floor or (bound, k) < best:
+                break
+            best = max(best, (SequenceMatcher(None, cue, lines[-k], autojunk=False).ratio(), k))
+        return (best[0], -best[1]) if best[1] <= 0 and best[0] >= floor else (0.0, -1)
+
     cursor, out = 0, []
     for cue in cues:
-        near = range(cursor, min(len(lines), cursor + window))
-        best = max(near, key=lambda k: (similarity(cue, lines[k]), -k), default=-1)
-        sure = similarity(cue, lines[best]) if best >= 0 else 0.0
+        own = Counter(cue)
+        # What lies below this is neither taken nor sure enough to keep a jump away.
+        sure, best = surest(cue, own, range(cursor, min(len(lines), cursor + window)), min(least, jump - 0.2) - 1e-9)
         if sure < 0.9:
-            far = max(range(len(lines)), key=lambda k: (similarity(cue, lines[k]), -k), default=-1)
-            if far >= 0 and similarity(cue, lines[far]) >= jump and similarity(cue, lines[far]) > sure + 0.2:
-                best, sure = far, similarity(cue, lines[far])
-        if sure >= least:
+            far_sure, far = surest(cue, own, range(len(lines)), max(jump, sure + 0.2))
+            if far >= 0 and far_sure > sure + 0.2:
+                best, sure = far, far_sure
+        if sure >= least and best >= 0:
             cursor = best + 1
             out.append(best)
         else:
@@ -68,7 +95,7 @@ def ordered_match(cues: DataFrame, script: DataFrame) -> DataFrame:
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("ord"), b.sort_values("line")
-        got = ordered_match_of([x[:400] if x else "" for x in a["text"]], [x[:400] if x else "" for x in b["text"]])
+        got = ordered_match_of([x or "" for x in a["text"]], [x or "" for x in b["text"]])
         numbers = b["line"].tolist()
         return pd.DataFrame({"unit": key[0], "ord": a["ord"].to_numpy(), "line": pd.array([numbers[k] if k >= 0 else None for k in got], "Int64")})
 

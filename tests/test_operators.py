@@ -1,5 +1,8 @@
 """Planted cases for operators whose order or text matching SQL can't state, and edge cases."""
 
+import random
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -46,6 +49,42 @@ def test_ordered_match_follows_the_script():
     assert retrieval.ordered_match_of(["alpha one lin", "gamma three", "zzzzqqqq"], lines) == [0, 2, -1]
 
 
+def test_ordered_match_compares_whole_lines(spark):
+    """Lines alike in their first 400 characters and different after."""
+    head = "the same words again and again " * 14
+    script = spark.createDataFrame([(1, k, head + x) for k, x in enumerate(["to the north", "far to the south", "beyond", "b" * 900])], "unit long, line long, text string")
+    cues = spark.createDataFrame([(1, 0, head + "far to the south"), (1, 1, head + "b" * 900), (1, 2, head + "c" * 2000)], "unit long, ord long, text string")
+    assert {r.ord: r.line for r in retrieval.ordered_match(cues, script).collect()} == {0: 1, 1: 3, 2: None}
+
+
+def brute_ordered_match(cues, lines, window=10, least=0.5, jump=0.7):
+    def like(a, b):
+        if a == b:
+            return 1.0
+        return 0.95 if min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)) else SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+    cursor, out = 0, []
+    for cue in cues:
+        every = [like(cue, x) for x in lines]
+        best = max(range(cursor, min(len(lines), cursor + window)), key=lambda k: (every[k], -k), default=-1)
+        sure = every[best] if best >= 0 else 0.0
+        if sure < 0.9:
+            far = max(range(len(lines)), key=lambda k: (every[k], -k), default=-1)
+            if far >= 0 and every[far] >= jump and every[far] > sure + 0.2:
+                best, sure = far, every[far]
+        out.append(best if sure >= least else -1)
+        cursor = best + 1 if sure >= least else cursor
+    return out
+
+
+def test_ordered_match_bounds_change_nothing():
+    pick = random.Random(3)
+    for _ in range(300):
+        lines = ["".join(pick.choices("abc ", k=pick.choice([0, 2, 5, 12, 40]))) for _ in range(pick.randint(0, 14))]
+        cues = ["".join(c for c in pick.choice(lines or ["abc"]) if pick.random() < pick.choice([0.6, 0.9, 1])) for _ in range(8)]
+        assert retrieval.ordered_match_of(cues, lines, window=3) == brute_ordered_match(cues, lines, window=3)
+
+
 def test_footprints_first_created_wins():
     rows = pd.DataFrame([(0, 0, 10, 10), (1, 0, 11, 10), (50, 50, 60, 60)], columns=["x0", "y0", "x1", "y1"])
     assert regions.footprints_of(rows) == [0, 0, 1]
