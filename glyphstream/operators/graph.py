@@ -1,4 +1,4 @@
-"""Connected components of small graphs between regions, lines or cues."""
+"""Connected components of small graphs between regions, lines or cues, and what a node reaches along directed edges."""
 
 from __future__ import annotations
 
@@ -22,3 +22,21 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int
         if not changed:
             return now
     raise RuntimeError("components did not settle")
+
+
+def reach(edges: DataFrame) -> DataFrame:
+    """edges (a, b) to (root, node, depth): for each a all that it reaches, itself included, with the fewest steps.
+
+    A round goes one step on from what the last one found; the rounds end when one finds nothing new.
+    """
+    edges = checkpointed(edges.select("a", "b").distinct())
+    front = every = checkpointed(edges.select(F.col("a").alias("root"), F.col("a").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    step = 0
+    while not front.isEmpty():
+        step += 1
+        onto = front.join(edges, front["node"] == edges["a"]).select("root", F.col("b").alias("node")).distinct()
+        front = checkpointed(onto.join(every, ["root", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        every = every.unionByName(front)
+        if step % 16 == 0:
+            every = checkpointed(every)
+    return every

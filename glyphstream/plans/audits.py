@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
-from ..operators import intervals
+from ..operators import graph, intervals
 from .queries import CUE_SQL, HOUR, LINES_SQL, OBS_SQL, cue_view, line_view, obs_view, query, table
 
 
@@ -152,6 +152,13 @@ def branch_reach(spark, d):
     return every.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
+@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, user_id * 7 + 3 AS b FROM events), r AS (SELECT DISTINCT a AS root, a AS node, 0 AS depth FROM e UNION ALL SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node) SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2")
+def branch_reach_all(spark, d):
+    """Nodes that each branch reaches in any number of steps, with the fewest steps."""
+    u = F.col("user_id")
+    return graph.reach(table(spark, d, "events").select(u.alias("a"), (u * 7 + 3).alias("b")))
+
+
 @query(OBS_SQL + ", k AS (SELECT stream_id, text, t_us // 600000000 AS slot FROM obs) SELECT a.text AS text_a, b.text AS text_b, count(*) AS n FROM k a JOIN k b ON a.stream_id = b.stream_id AND a.slot = b.slot AND a.text < b.text GROUP BY 1, 2")
 def text_context(spark, d):
     """Texts on screen together, by ten-minute cells."""

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from glyphstream.functions import texts, times
-from glyphstream.operators import intervals, regions, retrieval, runs
+from glyphstream.operators import graph, intervals, regions, retrieval, runs
 from glyphstream.sources import subtitles
 
 
@@ -85,6 +85,13 @@ def test_ordered_match_bounds_change_nothing():
         assert retrieval.ordered_match_of(cues, lines, window=3) == brute_ordered_match(cues, lines, window=3)
 
 
+def test_reach_has_no_limit_of_steps_and_ends_on_cycles(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (100, 102)]
+    got = {(r.root, r.node): r.depth for r in graph.reach(spark.createDataFrame(edges, "a long, b long")).collect()}
+    ring = {(100, 100): 0, (100, 101): 1, (100, 102): 1, (101, 101): 0, (101, 102): 1, (101, 100): 2, (102, 102): 0, (102, 100): 1, (102, 101): 2}
+    assert got == {(a, b): b - a for a in range(40) for b in range(a, 41)} | ring
+
+
 def test_footprints_first_created_wins():
     rows = pd.DataFrame([(0, 0, 10, 10), (1, 0, 11, 10), (50, 50, 60, 60)], columns=["x0", "y0", "x1", "y1"])
     assert regions.footprints_of(rows) == [0, 0, 1]
