@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, remove
+from .store import cut, drop
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the least of u and all v; the minimum is aggregated before the shuffle, so a u with many v isn't gathered."""
+def _least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (u, v) with m, the least of u and all v, and the table of the minima.
+
+    Minima are aggregated before the shuffle and written, so the join has a plain table of one row
+    a node on one side: small ones are broadcast by size, and of large ones Spark splits the
+    partition of a hub (a u with very many v) over several tasks.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
+    least = cut(least, "least", tidy=False)
+    return pairs.join(least, F.col("u") == F.col("_u")).drop("_u"), least
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -21,19 +27,19 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     small star (its smaller neighbours are) until nothing changes; edges only ever get
     fewer, and each round's table is written, so lineage stays short.
     """
-    now = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(),
-        "edges",
-    )
+    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges", tidy=False)
     mark = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _least(large).select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = cut(small, "edges")
-        new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        remove(now.sparkSession, now._cut_path)
-        now = after
+        both, least = _least(both)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large, "edges", tidy=False)
+        drop(now, least)
+        pairs, least = _least(large)
+        small = pairs.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        now = cut(small, "edges", tidy=False)
+        drop(large, least)
+        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
             break
         mark = tuple(new)

@@ -11,9 +11,10 @@ key. (The chance to share none is about 1e-9 for pairs with a similarity of 0.85
 Keys that one set alone has are dropped. What is left is thinned by an exact bound: a
 set linked to another shares `percent` of its shingles with it, so a set with fewer
 of its shingles found in other candidates goes. Sets that keys connect, directly or
-through others, form a family. A family is cut into blocks of bounded size, and each
-pair of blocks counts intersections of full sets by matrix products in one task, which
-returns only a spanning forest of the links: no pair leaves the task otherwise.
+through others, form a family. Its sets are held against the least one first; what isn't linked
+to it is cut into blocks of bounded size, and each pair of blocks counts intersections of
+full sets by matrix products in one task, which returns only a spanning forest of the
+links: no pair leaves the task otherwise.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
 from .links import components
-from .store import cut
+from .store import cut, drop
 
 #: Positions that may differ, and by that the number of chunks: two errors have to fall into each to miss a pair.
 THRESHOLD = 23
@@ -35,8 +36,12 @@ CHUNKS = THRESHOLD // 2 + 1
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.lit(11), "text")
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's name (h1, h2) and its signature."""
+    """doc_id, n_shingles, the text's hash, the set's name (h1, h2) and its signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -45,6 +50,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64").array,
+                    "text_key": batch["text_key"],
                     "n_shingles": [len(x) for x in sets],
                     "h1": [x[0] for x in names],
                     "h2": [x[1] for x in names],
@@ -52,7 +58,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, signature array<int>")
+    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, h1 long, h2 long, signature array<int>")
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -81,11 +87,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _shared_enough(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of sets (rep, members, h1, h2) whose members are found in other rows to the percentage needed."""
-    one = sets.select("rep", "h1", "h2", F.explode("members").alias("x"))
+    """(rep, h1, h2) of the sets whose members are found in other sets to the percentage needed.
+
+    Members travel with half of the set's name alone. Should two sets ever share that half, they
+    count as one with more members shared, so neither is dropped wrongly.
+    """
+    one = sets.select("h1", F.explode("members").alias("x"))
     again = one.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    shared = one.join(again, "x", "left_semi").groupBy("rep", "h1", "h2").agg(F.count("*").alias("n"))
-    return sets.join(shared, ["rep", "h1", "h2"]).where(100 * F.col("n") >= percent * F.size("members")).drop("n")
+    shared = one.join(again, "x", "left_semi").groupBy("h1").agg(F.count("*").alias("n"))
+    return sets.select("rep", "h1", "h2", F.size("members").alias("size")).join(shared, "h1").where(100 * F.col("n") >= percent * F.col("size")).select("rep", "h1", "h2")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -132,48 +142,95 @@ def block_links(rep: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return [(int(rep[i]), int(rep[least[i]])) for i in range(n) if least[i] != i]
 
 
+def _blocks(n: Column, total: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+
+
 def _links(families: DataFrame, percent: int) -> DataFrame:
-    """families: (rep, members, family). Verified links (a, b), a spanning forest of each pair of blocks."""
-    size = families.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("members")).alias("total"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rows = families.join(size.select("family", blocks.alias("blocks")), "family")
-    own = F.pmod(F.xxhash64("rep", "members"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("rep", "members", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """families: (rep, h1, members, family), written. Verified links (a, b), a spanning forest.
+
+    Every set is first held against its family's least one. Sets linked to it need no comparison
+    with each other, so only the rest goes on: against itself and against the linked ones, in
+    blocks of bounded size, two blocks a task. A large family of copies costs one pass.
+    """
+    hubs = cut(families.groupBy("family").agg(F.min("rep").alias("least"), F.min_by("members", F.struct("rep", "h1")).alias("hub")), "hubs")
+    met = families.join(hubs, "family")
+    both = F.size(F.array_intersect("members", "hub"))
+    near = 100 * both >= percent * (F.size("members") + F.size("hub") - both)
+    marks = cut(met.select("family", "rep", "h1", "least", F.size("members").alias("size"), near.alias("near")), "marks")
+    drop(hubs)
+    count = lambda c: (F.sum(F.when(c, 1).otherwise(0)), F.sum(F.when(c, F.col("size")).otherwise(0)))
+    size = marks.groupBy("family").agg(_blocks(*count(~F.col("near"))).alias("rests"), _blocks(*count(F.col("near"))).alias("nears")).where("rests > 0")
+    rows = families.join(marks.join(cut(size, "blocks"), "family").select("rep", "h1", "near", "rests", "nears"), ["rep", "h1"])
+    own = F.pmod(F.xxhash64("rep", "members"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("rests"))).cast("int")
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    rest = F.transform(upto("rests"), lambda k: place("rest", F.least("own", k), F.greatest("own", k)))
+    across = F.transform(upto("nears"), lambda k: place("across", F.col("own"), k))
+    linked = F.transform(upto("rests"), lambda k: place("across", k, F.col("own")))
+    rows = rows.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("near"), linked).otherwise(F.concat(rest, across))))
 
     def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(x, np.int64) for x in batch["members"]]
         return pd.DataFrame(block_links(batch["rep"].to_numpy(), sets, percent) if len(sets) > 1 else [], columns=["a", "b"]).astype(np.int64)
 
-    return rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
-
+    rows = rows.select("rep", "members", "family", "at.kind", "at.i", "at.j")
+    found = rows.groupBy("family", "kind", "i", "j").applyInPandas(run, "a long, b long")
+    return found.unionByName(marks.where("near and rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs; sets with a similarity of `percent` or more are linked.
 
-    docs needs doc_id and text; other columns are dropped. Rows with equal shingle sets are
-    one class and enter the search once. A null, empty or blank text has no shingles and is
-    linked with nothing. Rows with one doc_id are one node. A row without an id is linked
-    with nothing: its component_id is null and it is kept.
-    """
+def _verdicts(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and kept for each row of docs."""
     signed = cut(_signed(docs), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     reps = cut(reps, "classes")
     keys = _keys(reps)
-    hot = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where("n > 1 and least <> most")
-    shared = cut(keys.join(hot.select("key", "least"), "key").select("key", "rep"), "shared-keys")
+    hot = cut(keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key"), "hot-keys")
+    shared = cut(keys.join(hot, "key").select("key", "rep"), "shared-keys")
+    drop(hot)
     wanted = reps.select("rep", "h1", "h2").join(shared.select("rep").distinct(), "rep", "left_semi")
     sets = cut(_full_sets(docs, wanted), "full-sets")
     live = cut(_shared_enough(sets, percent), "live-sets")
-    shared = shared.join(live.select("rep").distinct(), "rep", "left_semi")
-    least = shared.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meet = shared.join(least, "key").where("rep <> least").select("rep", "least").distinct()
+    left = shared.join(live.select("rep").distinct(), "rep", "left_semi")
+    least = left.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key", "least")
+    meet = cut(left.join(cut(least, "key-least"), "key").where("rep <> least").select("rep", "least").distinct(), "meet")
+    drop(shared)
     family = components(meet, "rep", "least").select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    links = _links(live.select("rep", "members").join(family, "rep"), percent)
-    found = cut(components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component")), "components")
+    families = cut(sets.join(live, ["rep", "h1", "h2"], "left_semi").join(family, "rep").select("rep", "h1", "members", "family"), "families")
+    drop(sets, live, meet)
+    links = cut(_links(families, percent), "links")
+    drop(families)
+    found = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component"))
     classes = reps.select("h1", "h2", "rep", "copies").join(found, "rep", "left")
     classes = classes.where("copies > 1 or component is not null").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("signature").join(classes, ["h1", "h2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Written, so that the rows of a class with very many copies are split over tasks or meet a broadcast table.
+    classes = cut(classes, "components")
+    drop(reps, links)
+    signed = signed.drop("signature")
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = signed.where(known).join(classes, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.unionByName(signed.where(~known).withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs; sets with a similarity of `percent` or more are linked.
+
+    docs needs doc_id and text; other columns are dropped. Rows with equal shingle sets are
+    one class and enter the search once. A null, empty or blank text has no shingles and is
+    linked with nothing. Verdicts are of rows: of an id that stands with several texts each
+    row gets the component of its own text. A row without an id is linked with nothing: its
+    component_id is null and it is kept.
+    """
+    return _verdicts(docs, percent).drop("text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps.
+
+    Rows go by id and text together, so an id with a text that no other document has stays with
+    that text. Rows that repeat an id and its text are one document and stay together.
+    """
+    gone = cut(_verdicts(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct(), "near-copies")
+    return docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(F.lit(11), docs["text"]) == gone["_gone_key"]), "left_anti")
