@@ -90,6 +90,18 @@ class Machine:
     def score(self, at: np.ndarray, value: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.raw(at, value), -30, 30))))
 
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]], batch: int = 128) -> np.ndarray:
+        """score() of each row; `batch` rows are looked up at once."""
+        out = [np.empty(0)]
+        for lo in range(0, len(rows), batch):
+            own = rows[lo : lo + batch]
+            at, value = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+            starts = np.cumsum([0, *(len(x[0]) for x in own[:-1])])
+            v = self.factors[at] * value[:, None]
+            raw = self.bias + np.add.reduceat(self.weights[at] * value, starts) + 0.5 * (np.add.reduceat(v, starts) ** 2 - np.add.reduceat(v**2, starts)).sum(1)
+            out.append(1 / (1 + np.exp(-np.clip(raw.astype(float), -30, 30))))
+        return np.concatenate(out)
+
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 10, rate: float = 0.1, decay: float = 1e-5, batch: int = 128) -> Machine:
     """Logistic loss by AdaGrad. Without rows of both labels the machine gives the labels' mean."""
@@ -140,6 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in sample], np.array([r["label"] for r in sample], np.float32))
 
 
+def _scoring(machine: Machine):
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(machine.scores([features(x) for x in texts]), dtype=float)
+
+    return score
+
+
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted (1 from the threshold on).
 
@@ -147,12 +167,12 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3) -
     text is scored like an empty one. Each row stands for itself.
     """
     docs = docs.drop("score", "predicted")
+    return docs.withColumn("score", _scoring(machine)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([machine.score(*features(x)) for x in texts], dtype=float)
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score at least `threshold`, with all their columns as they are, whatever these are called."""
+    return docs.where(_scoring(machine)(docs["text"]) >= threshold)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

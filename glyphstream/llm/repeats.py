@@ -9,16 +9,18 @@ have one trigger make a phrase: the bytes that they cover. So phrases overlap by
 LENGTH - 1 bytes, every window lies in exactly one phrase occurrence, and equal windows
 have equal triggers wherever they stand.
 
-Dictionary and parse. The parse of a chunk of documents is its list of distinct phrases,
-each as (trigger, phrase) fingerprints with the least id; the parse of the corpus, dealt
-by trigger, gives each phrase of the dictionary its first document. In every later
-document all of its windows are removed, which settles long repeats phrase by phrase,
-however often they occur. What is left is a window in the first document of its phrase
-whose trigger is found in other phrases too. Only of these phrases are bytes sent, once
-each: the suffixes of a trigger's phrases, cut to LENGTH bytes, are brought into one
-order together with the first documents from the parse, and a window's first document is
-the least one among its equals. As only equality up to LENGTH bytes counts, that order
-goes by 64-bit fingerprints and not by letters.
+Parse. The parse of a chunk of documents is its list of distinct phrases, each with the
+least id. The parse of the corpus, dealt by trigger and sorted by (trigger, phrase),
+gives each phrase of the dictionary its first document. In every later document all of
+its windows are removed, which settles long repeats phrase by phrase, however often they
+occur. As a window never reaches beyond its phrase, the order of the parse's own suffixes
+after their first phrase is never asked for, and isn't built.
+
+Dictionary. What is left is a window in the first document of its phrase whose trigger is
+found in other phrases too. Only of these phrases are bytes sent, once each: the suffix
+array of a trigger's phrases, by their bytes up to LENGTH, together with the first
+documents from the parse brings the windows into corpus order, and a window's first
+document is the least one among its equals.
 
 All hops between chunks and buckets of triggers carry packed arrays, so a task holds one
 chunk (CHUNK_BYTES) or one bucket (a fixed part of the corpus).
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import cut
-from .words import mixed
+from .words import give_back, mixed
 
 try:
     import zstandard
@@ -59,6 +61,8 @@ except ImportError:
 LENGTH = 50
 K = 20
 CHUNK_BYTES, BUCKET_BYTES, SEGMENT = 4 << 20, 8 << 20, 1 << 18
+#: Strings of a suffix array that are ordered at a time.
+PART = 1 << 19
 PLACE_BITS, TRIGGER_BITS, PHRASE_BITS = 20, 40, 48
 ROWS = "chunk long, kind int, bucket int, data binary"
 BLOB, FIRST, SECOND = 0, 1, 2
@@ -322,42 +326,70 @@ def _requested(n: int):
     return run
 
 
-def window_prints(windows: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """A fingerprint of each window of phrases that lie one after another."""
-    size = windows.astype(np.int64) + LENGTH - 1
-    ends = np.cumsum(size)
-    out = []
+def suffix_array(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings data[at : at + length], and at which places of it a string begins that the one before doesn't equal.
+
+    Eight bytes at a time, as one number whose order is theirs; only strings that are equal so far
+    are looked at again. data has eight bytes more than the last string needs.
+    """
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    first = words[at].astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    new = np.ones(len(order), bool)
+    new[1:] = first[1:] != first[:-1]
+    for k in range(8, length, 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        place = np.flatnonzero(tied)
+        if not len(place):
+            break
+        group, own = np.cumsum(new)[place], order[place]
+        word = words[at[own] + k].astype(np.uint64) >> np.uint64(8 * max(0, k + 8 - length))
+        by = np.lexsort((word, group))
+        order[place], word = own[by], word[by]
+        new[place[1:]] |= (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+    return order, new
+
+
+def _parts(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The strings' numbers in ranges of their first two bytes, at most PART in each unless two bytes have more: the suffix array comes range by range."""
+    head = data[at].astype(np.uint16) << np.uint16(8) | data[at + 1]
+    upto = np.cumsum(np.bincount(head, minlength=1 << 16))
     lo = 0
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + SEGMENT, side="right")))
-        begin = int(ends[lo] - size[lo])
-        sums, back = _sums(data[begin : ends[hi - 1]])
-        start = ends[lo:hi] - size[lo:hi] - begin
-        own = windows[lo:hi].astype(np.int64)
-        at = np.arange(int(own.sum())) + np.repeat(start - (np.cumsum(own) - own), own)
-        out.append(mixed((sums[at + LENGTH] - sums[at]) * back[at]))
+    while lo < 1 << 16:
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + PART, side="right")))
+        own = np.flatnonzero((head >= lo) & (head < hi)) if (lo, hi) != (0, 1 << 16) else np.arange(len(at))
+        if len(own):
+            yield own
         lo = hi
-    return np.concatenate(out)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    """Windows of a bucket's phrases in one order: to each chunk, for its windows, whether an equal one begins in a smaller document."""
+    """Windows of a bucket's phrases in the order of their bytes: to each chunk, for its windows, whether an equal one begins in a smaller document."""
     bucket = table["bucket"][0].as_py()
     got = [unpack(x.as_py()) for x in table["data"]]
-    prints = [window_prints(w, data) for w, _, data in got]
-    docs = np.concatenate([np.repeat(d, w) for w, d, _ in got])
-    every = np.concatenate(prints)
-    order = np.argsort(every, kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = every[order][1:] != every[order][:-1]
-    least = np.minimum.reduceat(docs[order], np.flatnonzero(new))
-    again = np.empty(len(order), bool)
-    again[order] = least[np.cumsum(new) - 1] < docs[order]
-    rows, at = [], 0
-    for chunk, own in zip(table["chunk"].to_pylist(), prints, strict=True):
-        if again[at : at + len(own)].any():
-            rows.append((chunk, SECOND, bucket, pack(np.packbits(again[at : at + len(own)]))))
-        at += len(own)
+    counts = [int(w.sum()) for w, _, _ in got]
+    windows = np.concatenate([w for w, _, _ in got]).astype(np.int32)
+    docs = np.concatenate([d for _, d, _ in got])
+    data = np.concatenate([*[x for _, _, x in got], np.zeros(8, np.uint8)])
+    del got
+    size = windows + (LENGTH - 1)
+    phrase = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    at = np.arange(len(phrase), dtype=np.int64) + np.repeat(np.cumsum(size, dtype=np.int64) - size - (np.cumsum(windows, dtype=np.int64) - windows), windows)
+    again = np.zeros(len(phrase), bool)
+    for own in _parts(data, at):
+        order, new = suffix_array(data, at[own])
+        doc = docs[phrase[own[order]]]
+        least = np.minimum.reduceat(doc, np.flatnonzero(new))
+        again[own[order]] = least[np.cumsum(new) - 1] < doc
+    rows, lo = [], 0
+    for chunk, n in zip(table["chunk"].to_pylist(), counts, strict=True):
+        if again[lo : lo + n].any():
+            rows.append((chunk, SECOND, bucket, pack(np.packbits(again[lo : lo + n]))))
+        lo += n
+    give_back()
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -391,7 +423,10 @@ def removed(own: Chunk, first: dict[int, bytes], second: dict[int, bytes], n: in
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cleaned(n: int, columns: list[str]):
+MORE = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def _cleaned(n: int, columns: list[str], length: str | None):
     def run(table: pa.Table) -> pa.Table:
         blobs, first, second = _group(table)
         out = []
@@ -405,17 +440,36 @@ def _cleaned(n: int, columns: list[str]):
                 spans = int(mark[:1].sum() + (mark[1:] & ~mark[:-1]).sum())
                 texts.append(kept.decode(errors="ignore"))
                 rows.append((end - start, end - start - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            n_bytes, n_removed, n_spans, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             whole = own.table.set_column(own.table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            more = {"n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            for name, column in more.items():
-                whole = whole.append_column(name, column)
+            if length is not None:
+                at = whole.schema.get_field_index(length)
+                whole = whole.set_column(at, length, pa.array([len(x) for x in texts], pa.int64()))
+            if columns[-len(MORE) :] == MORE and len(columns) > len(whole.schema):
+                for name, values in zip(MORE, zip(*rows, strict=True) if rows else [()] * len(MORE), strict=True):
+                    whole = whole.append_column(name, pa.array(values, pa.string() if name == "kept_sha256" else pa.int64()))
             out.append(whole.select(columns))
+        give_back()
         return pa.concat_tables(out)
 
     return run
 
 
+def _passes(docs: DataFrame, schema: T.StructType, length: str | None) -> DataFrame:
+    chunks = cut(_chunks(docs), "chunks")
+    total = chunks.agg(F.sum(F.col("bucket").cast("long"))).first()[0] or 0
+    n = max(1, -(-total // BUCKET_BYTES))
+    first = cut(_parses(chunks, n).groupBy("bucket").applyInArrow(_answer, ROWS), "first")
+    asked = chunks.unionByName(first).groupBy("chunk").applyInArrow(_requested(n), ROWS)
+    second = cut(asked.groupBy("bucket").applyInArrow(_ordered, ROWS), "second")
+    every = chunks.unionByName(first).unionByName(second)
+    return every.groupBy("chunk").applyInArrow(_cleaned(n, schema.names, length), schema)
+
+
+def _schema(docs: DataFrame, length: str | None = None) -> T.StructType:
+    kinds = {"text": T.StringType(), length: T.LongType()}
+    return T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in docs.schema])
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the text that is left, n_bytes, n_removed, n_spans and kept_sha256.
 
@@ -424,16 +478,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text is empty. A row without an id loses nothing and counts as no other's predecessor; rows
     with one id aren't smaller than each other, so repeated rows keep what no smaller id has.
     """
-    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    docs = docs.drop(*own)
-    schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else T.StructField(f.name, f.dataType) for f in docs.schema])
-    for name in own:
+    docs = docs.drop(*MORE)
+    schema = _schema(docs)
+    for name in MORE:
         schema = schema.add(name, T.StringType() if name == "kept_sha256" else T.LongType())
-    chunks = cut(_chunks(docs), "chunks")
-    total = chunks.agg(F.sum(F.col("bucket").cast("long"))).first()[0] or 0
-    n = max(1, -(-total // BUCKET_BYTES))
-    first = cut(_parses(chunks, n).groupBy("bucket").applyInArrow(_answer, ROWS), "first")
-    asked = chunks.unionByName(first).groupBy("chunk").applyInArrow(_requested(n), ROWS)
-    second = cut(asked.groupBy("bucket").applyInArrow(_ordered, ROWS), "second")
-    every = chunks.unionByName(first).unionByName(second)
-    return every.groupBy("chunk").applyInArrow(_cleaned(n, schema.names), schema)
+    return _passes(docs, schema, None)
+
+
+def without_repeats(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """docs with the text that is left, and all other columns as they are, whatever these are called; `length` names one that gets the text's code points. Rows go as in remove_repeats()."""
+    return _passes(docs, _schema(docs, length), length)

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import held_out, labelled
+from .store import cut
 from .words import PLAIN, numbered
 
 #: Labelled documents that are used at most; three quarters give log-odds, the rest calibrate.
 SAMPLE_ROWS = 16000
-#: Tokens with a score of their own at most, those of the largest |z|.
-LEXICON = 50_000
+#: A passage is significant if chance gives fewer than this many of its score in a text of the length.
+LEVEL = 0.01
 PRIOR, Z_LEAST, LEAST_DOCS, DRIFT = 0.05, 4.0, 5, 0.05
 #: Log-odds below this aren't evidence, however sure they are.
 EFFECT = 3.0
@@ -179,11 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             )
 
     tokens = sample.where("half = 0").mapInPandas(count, "token long, n long, label int").groupBy("token")
+    # Written, as two sums are read off it; the sample's tokens bound it.
     sums = tokens.agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("other"),
         F.count("*").alias("docs"),
     )
+    sums = cut(sums, "token-sums")
     # The sample is bounded, and by it the tokens that at least LEAST_DOCS of its documents have.
     own = sums.where(F.col("docs") >= LEAST_DOCS).toPandas()
     rest = sums.where(F.col("docs") < LEAST_DOCS).agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).first()
@@ -195,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     delta, z = delta[:-1], z[:-1]
     names = own["token"].to_numpy(np.int64).view(np.uint64)
     keep = np.flatnonzero((np.abs(z) >= Z_LEAST) & (np.abs(delta) >= EFFECT))
-    keep = keep[np.lexsort((names[keep], -np.abs(z[keep])))][:LEXICON]
+    keep = keep[np.lexsort((names[keep], -np.abs(z[keep])))]
     model = Model({int(names[i]): (float(max(delta[i], -1.0)), float(z[i])) for i in keep})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs with score, predicted and toxic_spans (first word, one past the last, score; those above the law's mode).
+    """docs with score, predicted and toxic_spans (first word, one past the last, score; those of which chance gives fewer than LEVEL in a text of the length).
 
     docs needs text; columns of the result's names are replaced, others stay. A null text is empty:
     no segments, and the score of no evidence. Each row stands for itself.
@@ -238,8 +241,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
             n, found = model.spans(text)
             x = model.curve[0] + model.curve[1] * math.log1p(model.evidence(n, found))
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
-            mode = (model.log_k + math.log(max(n, 1))) / model.lam
-            spans.append([{"first_word": a, "past_word": b, "score": s} for a, b, s in found if s > mode])
+            least = (model.log_k + math.log(max(n, 1)) - math.log(LEVEL)) / model.lam
+            spans.append([{"first_word": a, "past_word": b, "score": s} for a, b, s in found if s >= least])
         return pd.DataFrame({"score": scores, "spans": spans})
 
     out = docs.withColumn("_scored", scan("text"))
