@@ -363,3 +363,180 @@ def test_pipeline_stages(spark, tiny):
             assert list(out.columns) == docs.columns
             read = spark.createDataFrame(out, docs.schema)
     assert sorted(out["ids_sha256"]) == sorted(corpus_pipeline.run(spark, tiny).toPandas()["ids_sha256"])
+
+
+def test_repeated_rows_are_taken_as_far_as_they_fit(spark):
+    rows = [(None, "a b c d e f g", "x")] * 400 + [(k, "w " * 10, "y") for k in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, one in got.groupby("source"):
+        assert abs(one["taken"].sum() - one["target"].iloc[0]) <= one["size"].max()
+
+
+def test_the_edge_is_found_by_cutting_bins_again(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k % 7), "ab"[k % 3 == 0]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "ORDERED", 2)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    assert {r.doc_id: r.copies for r in mixing.mix(docs).collect()} == want
+    keyed = docs.select("doc_id", "source", *[c.alias(k) for k, c in mixing.key_columns(docs).items()]).toPandas()
+    plan = mixing.targets(docs.select(*[c.alias(k) for k, c in mixing.key_columns(docs).items()])).toPandas().set_index("_source")
+    for source, own in keyed.sort_values("_key").groupby("source"):
+        epochs, rest = plan.loc[source, "_epochs"], plan.loc[source, "_rest"]
+        upto = own["_size"].cumsum() <= rest
+        gap = rest - own["_size"][upto].sum()
+        others = own[~upto & ((own["_size"] - gap).abs() < gap)]
+        extra = others.loc[((others["_size"] - gap).abs()).idxmin(), "doc_id"] if len(others) else None
+        assert all(want[i] == min(3, epochs + (p or i == extra)) for i, p in zip(own["doc_id"], upto, strict=True))
+
+
+def test_given_weights_decide(spark):
+    rows = [(k, "w " * 10, "ab"[k % 2], 1000.0 if k < 300 else 0.001) for k in range(2000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"), weight="w").toPandas()
+    a = got[got["source"] == "a"]
+    assert (a[a["doc_id"] < 300]["copies"] == 1).all() and a["copies"].max() == 1 and a["copies"].min() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, labels, tmp_path):
+    """Nulls, blank and long texts, repeated rows, names that clash or begin with an underscore, and empty tables, in each stage."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = odd.withColumn("_meta", F.lit("m")).withColumn("_d", F.lit(1)).withColumn("_gone_id", F.lit(2)).withColumn("n_chars", F.lit(0).cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        none = stage(spark, odd.where("false"), str(tmp_path))
+        assert none.collect() == []
+        rows = out.collect()
+        if "BPE" in name:
+            assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {0}
+            continue
+        assert out.columns == odd.columns and none.columns == odd.columns
+        assert {r._meta for r in rows} <= {"m"} and {r._d for r in rows} <= {1} and {r.score for r in rows} <= {None}
+        ids = Counter(r.doc_id for r in rows)
+        if name == "MinHash near-dedup":
+            # 4 repeats the text of 3, 7 nearly that of 6; 3 stands twice as one document.
+            assert ids == {0: 1, 1: 1, 2: 1, 3: 2, None: 2, 5: 1, 6: 1, 8: 1, 9: 1, 10: 1}
+        elif name == "suffix-array dedup":
+            assert len(rows) == odd.count() and all(r.n_chars == len(r.text) for r in rows)
+            assert [r.text for r in rows if r.doc_id == 7] == ["extra"]
+        elif name == "mixing sources to target weights":
+            assert max(Counter((r.doc_id, r.text) for r in rows if r.doc_id not in (3, None)).values()) <= 3
+
+
+def test_an_id_with_several_texts_keeps_what_nobody_else_has(spark):
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "quite another text of eight words in all")]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [rows[0], rows[2]]
+
+
+def test_a_family_of_many_near_copies_is_one_component(spark, monkeypatch):
+    """More sets than a block holds, most linked to the least one, some only to others."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
+    random = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(120):
+        own, at = list(words), int(random.integers(0, 290))
+        own[at] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    chain = list(words)
+    for k in range(200, 230):
+        chain[5 * (k - 200)] = f"y{k}"
+        rows.append((k, " ".join(chain)))
+    sets = {i: set(shingles.shingle_set(t).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    ids = sorted(sets)
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[i]] == root[i] for i in ids):
+            break
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+
+
+def test_minimum_covariance_determinant(spark):
+    """Centre and determinant against concentration steps in memory, on a group with a fifth of far rows."""
+    random = np.random.default_rng(4)
+    clean = random.multivariate_normal([5, 1.6, 0.1, 0.1], np.diag([0.6, 0.1, 0.02, 0.05]) ** 2 + 0.001, 800)
+    far = random.normal([2, 3, 0.8, 0.9], 0.05, (200, 4))
+    x = np.vstack([clean, far])
+    rows = spark.createDataFrame([(*map(float, r), "g") for r in x], ", ".join(f"{c} double" for c in outliers.STATS) + ", k string")
+    got = outliers.robust(rows, ["k"]).first()
+    floor = np.diag(np.array(outliers.FLOOR) ** 2)
+    h = int(np.ceil(outliers.SUPPORT * len(x)))
+    best = np.inf
+    for _ in range(30):
+        own = x[random.choice(len(x), 6, replace=False)]
+        last = np.inf
+        while True:
+            mean, scatter = own.mean(0), np.cov(own.T, bias=True) + floor
+            det = np.linalg.slogdet(scatter)[1]
+            if len(own) == h and det >= last - 1e-9:
+                break
+            last = det if len(own) == h else np.inf
+            off = x - mean
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off))[:h]]
+        best = min(best, last)
+    inverse = np.array(got["inverse"]).reshape(4, 4)
+    assert -np.linalg.slogdet(inverse)[1] <= best + 0.1
+    assert np.abs(np.array(got["centre"]) - clean.mean(0)).max() < 0.1
+
+
+def test_junk_goes_and_prose_stays(spark):
+    random = np.random.default_rng(6)
+    words = ["".join(random.choice(list("abcdefghij"), random.integers(2, 9))) for _ in range(3000)]
+    rows = [(k, " ".join(random.choice(words, random.integers(80, 400))), "en", "web") for k in range(400)]
+    rows += [(1000 + k, " ".join("#|%$" * 3 + w for w in random.choice(words, 100)), "en", "web") for k in range(20)]
+    rows += [(2000, None, "en", "web"), (2001, "", None, None), (2002, " ".join(words[:100]), None, "web"), (2003, " ".join(words[:100]), None, "web")]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k].kept for k in range(400)) and not any(got[1000 + k].kept for k in range(20))
+    assert got[2000].base_failed and got[2001].base_failed and not got[2000].kept and got[2002].kept == got[2003].kept
+
+
+def test_all_spans_of_a_licence():
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    n = len(re.findall(r"\w+", isc))
+    _, _, found = licence.default_scanner().scan(f"{isc} {'other words ' * 30} {isc}")
+    assert [(x[0], x[2], x[3]) for x in found if x[1] == 1.0] == [("isc", 0, n - 1), ("isc", n + 60, 2 * n + 59)]
+    lgpl = "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This license, the Lesser General Public License, applies to some specially designated software packages"
+    assert "lgpl" in {x[0] for x in licence.default_scanner().scan(lgpl)[2]}
+
+
+def _site_page(host, k):
+    """A page whose menu, notice and footer have no telling names, a shared line inside the article, and the article's own words."""
+    menu = f"<div><p>{host} start</p><ul><li>news of {host}<li>about {host}</ul></div>"
+    own = f"Report {k} of {host} says that {k * 7} ships came in. All rights of translation remain with the authors."
+    return f"<html><body>{menu}<p>We changed our terms</p><main><h1>Report {k}</h1><p>{own}</p></main><span>made in {host}</span><div>Printed by {host}</div></body></html>", f"Report {k} {own}"
+
+
+def test_templates_without_telling_names_go_by_their_counts(spark):
+    rows, want = [], {}
+    for h in range(3):
+        for k in range(10):
+            html, text = _site_page(f"h{h}", k)
+            rows.append((100 * h + k, f"http://h{h}.example.org/{k}", html.replace("<main>", "").replace("</main>", "") if h == 2 else html))
+            want[100 * h + k] = text
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_step = {r.page_id: r.text for r in pages.extract_text(frame, rules=False).collect()}
+    without = {r.page_id: r.text for r in pages.extract_text(frame, least=10**9, rules=False).collect()}
+    # With an article every element around it can be template; without one only containers can.
+    assert all(with_step[k] == want[k] for k in want if k < 200)
+    assert all(want[k] in with_step[k] and "start" not in with_step[k] and "Printed" not in with_step[k] for k in want if k >= 200)
+    assert all("Printed" in without[k] for k in want if k >= 200)
+
+
+def test_every_letter_is_split_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    own = bpe.coder(bpe.default_path())
+    codes = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(codes), 20_000):
+        texts = [f"a{chr(c)}{chr(c)}b" for c in codes[lo : lo + 20_000]]
+        assert [x for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids != own.encode(x)] == []
