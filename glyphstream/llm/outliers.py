@@ -4,7 +4,7 @@ A document is a vector of transformed statistics. Each language and source has a
 centre and a scatter from the minimum covariance determinant: the half of its documents
 (SUPPORT) whose scatter has the least determinant. They are found by concentration steps:
 distances to the present centre and scatter, the documents nearest by these, and their
-moments as the next ones. A document goes if its squared Mahalanobis distance, scaled so
+moments as the next ones, until the determinant no longer falls. A document goes if its squared Mahalanobis distance, scaled so
 that the group's median is the median of the chi-squared law, is beyond CUTOFF.
 
 No group is gathered. A step is an aggregation of sums and products by group; how far the
@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shape
-from .store import cut
+from .store import cut, drop
 
 STATS = ["x0", "x1", "x2", "x3"]
 D = len(STATS)
-#: Share of a group that the estimate rests on; concentration steps; least documents for a scatter of a group's own.
-SUPPORT, STEPS, LEAST = 0.6, 5, 60
+#: Share of a group that the estimate rests on; by how much the log of a determinant has to fall to go on; least documents for a scatter of a group's own.
+SUPPORT, FALL, LEAST = 0.6, 1e-3, 60
 #: Squared distance beyond which a document goes: far beyond the 0.999 999 quantile of chi-squared with 4 degrees of freedom (33.4), as the statistics have heavier tails.
 CUTOFF, CHI_MEDIAN = 150.0, 3.3567
 #: Least standard deviations: differences below these are no oddity, even if a group has none at all.
@@ -72,13 +72,13 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _estimates(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group its centre and the inverse of its scatter, as arrays; one row a group, so any number of groups is handled in parallel."""
+    """For each group its centre, the inverse of its scatter, as arrays, and the log of the scatter's determinant; one row a group, so any number of groups is handled in parallel."""
     schema = moments.select(*keys).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = np.diag(np.array(FLOOR) ** 2)
         for batch in batches:
-            centres, inverses = [], []
+            centres, inverses, logs = [], [], []
             for r in batch.to_dict("records"):
                 n = max(1, r["n"])
                 mean = np.array([r[f"s_{x}"] for x in STATS]) / n
@@ -90,9 +90,10 @@ def _estimates(moments: DataFrame, keys: list[str]) -> DataFrame:
                 scatter = (vectors * np.maximum(values, 0)) @ vectors.T + floor
                 centres.append(mean.tolist())
                 inverses.append(np.linalg.inv(scatter).reshape(-1).tolist())
-            yield batch[keys].assign(centre=centres, inverse=inverses)
+                logs.append(float(np.linalg.slogdet(scatter)[1]))
+            yield batch[keys].assign(centre=centres, inverse=inverses, log_det=logs)
 
-    return moments.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", centre array<double>, inverse array<double>")
+    return moments.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", centre array<double>, inverse array<double>, log_det double")
 
 
 def _distance() -> Column:
@@ -128,11 +129,21 @@ def _reach(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 def robust(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, centre, inverse, scale (to make the median distance chi-squared's) and total, for each group."""
-    now = cut(_estimates(_start(rows, keys), keys), "mcd")
-    for _ in range(STEPS):
-        near = _with_distance(rows, now, keys)
-        near = near.join(cut(_reach(near, keys, SUPPORT), "reach"), keys).where("_bin <= _reach")
-        now = cut(_estimates(_moments(near, keys), keys), "mcd")
+    # The start isn't a subset of the right size, so whatever the first step finds replaces it.
+    now = cut(_estimates(_start(rows, keys), keys).withColumn("log_det", F.lit(float("inf"))).withColumn("open", F.lit(True)), "mcd")
+    while True:
+        near = _with_distance(rows, now.where("open").select(*keys, "centre", "inverse"), keys)
+        reach = cut(_reach(near, keys, SUPPORT), "reach", tidy=False)
+        step = _estimates(_moments(near.join(reach, keys).where("_bin <= _reach"), keys), keys)
+        step = now.join(step.select(*keys, F.struct("centre", "inverse", "log_det").alias("step")), keys, "left")
+        fell = F.coalesce(F.col("step.log_det") < F.col("log_det") - FALL, F.lit(False))
+        # A group whose determinant doesn't fall is done and keeps its best estimate.
+        after = cut(step.select(*keys, *[F.when(fell, F.col(f"step.{c}")).otherwise(F.col(c)).alias(c) for c in ("centre", "inverse", "log_det")], fell.alias("open")), "mcd", tidy=False)
+        drop(now, reach)
+        now = after
+        if now.where("open").isEmpty():
+            break
+    now = now.drop("open", "log_det")
     half = _reach(_with_distance(rows, now, keys), keys, 0.5)
     # A floor of 1 keeps a group without any spread from rejecting what differs a little.
     scale = F.greatest(F.exp((F.col("_reach") + 0.5) / 64) / CHI_MEDIAN, F.lit(0.25))
