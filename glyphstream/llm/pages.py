@@ -1,10 +1,13 @@
 """HTML extraction by removal of site templates.
 
-A page is read into a tree. Each container's subtree gets a hash of its tag, class,
+A page is read into a tree. Each element's subtree gets a hash of its tag, class,
 text and children. Spark counts, for every host, on how many pages with different text
-a subtree stands; those on LEAST_PAGES or more are the site's template and are deleted, as are
-elements that say by tag, class or role that they aren't the article. The article's own
-paragraphs are never deleted for recurring: sites quote themselves.
+a subtree stands; those on LEAST_PAGES or more are the site's template and are deleted.
+Where a page has an article (a main element), every kind of element around it can be template,
+down to a line of a list; in it, and on pages without one, only containers can, as sites
+quote themselves. What differs from page to page, such as adverts and comments, and the
+templates of hosts with few pages can't be counted: for these, elements go that say by
+tag, class or role that they aren't the article.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ CONTAINER = frozenset("aside div dl fieldset footer form header menu nav ol sect
 # Of these, one that opens ends one of the same list that is open, up to the container named last.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NOISE_TAGS = frozenset("head script style noscript template svg canvas iframe object nav footer aside form button select textarea dialog menu title audio video math".split())
+NEVER_TEXT = frozenset("head script style noscript template svg canvas iframe object form button select textarea title audio video math".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup comment comments disqus discussion replies respond sidebar widget related recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer toolbar pagination pager".split()
 )
@@ -167,16 +171,22 @@ class Page:
         if self._upto({tag}, frozenset()) and tag in BLOCK:
             self._break()
 
+    def _could_be(self, x: Node) -> bool:
+        """Whether an element could be template: one that neither is nor holds a main element; other kinds than containers only outside of one."""
+        if x.parent < 0 or x.holds_main or (x.main and not self.nodes[x.parent].main):
+            return False
+        return x.tag in CONTAINER or (not x.main and self.nodes[0].holds_main)
+
     def subtrees(self) -> set[int]:
-        """Names of the containers that could be template: those that neither are nor hold a main element."""
-        return {x.name for x in self.nodes if x.tag in CONTAINER and not x.holds_main and not (x.main and not self.nodes[x.parent].main)}
+        """Names of the elements that could be template."""
+        return {x.name for x in self.nodes if self._could_be(x)}
 
-    def text(self, template: set[int] | frozenset[int] = frozenset()) -> str:
-        """Blocks of the article, one space between words and blocks."""
+    def text(self, template: set[int] | frozenset[int] = frozenset(), rules: bool = True) -> str:
+        """Blocks of the article, one space between words and blocks; without `rules`, only the template and what is never text (scripts, forms, media) goes."""
         gone = [False] * len(self.nodes)
         for k, x in enumerate(self.nodes):
-            own = x.name in template and x.tag in CONTAINER and not x.holds_main and not (x.main and x.parent >= 0 and not self.nodes[x.parent].main)
-            gone[k] = x.noise or own or (x.parent >= 0 and gone[x.parent])
+            own = x.name in template and self._could_be(x)
+            gone[k] = own or (x.noise if rules else x.tag in NEVER_TEXT) or (x.parent >= 0 and gone[x.parent])
         kinds = {x.main for k, x in enumerate(self.nodes) if not gone[k]}
         kind = next((k for k in ("article", "main", "content") if k in kinds), "")
         inside = [False] * len(self.nodes)
@@ -190,33 +200,35 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract_text(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, least: int = LEAST_PAGES, rules: bool = True) -> DataFrame:
     """page_id, url, text and n_chars for each page.
 
     pages needs page_id, url and html; other columns are dropped. Null or empty html gives an
     empty text. A null url has the empty host, one host like any other. Repeated pages count once
     for the template and each gives its row. A page is held whole in one worker.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("_host", host_of(F.col("url"))).withColumn("_row", F.xxhash64("_host", "html"))
+    rows = pages.select("page_id", "url", "html").withColumn("_host", host_of(F.col("url")))
+    rows = rows.withColumns({"_row": F.xxhash64("_host", "html"), "_again": F.xxhash64(F.lit(7), "html", "_host")})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [Page(x) for x in batch["html"]]
-            yield pd.DataFrame({"_host": batch["_host"], "_row": batch["_row"], "whole": [x.nodes[0].name for x in got], "names": [list(x.subtrees()) for x in got]})
+            yield pd.DataFrame({"_host": batch["_host"], "_row": batch["_row"], "_again": batch["_again"], "whole": [x.nodes[0].name for x in got], "names": [list(x.subtrees()) for x in got]})
 
-    trees = rows.select("_host", "_row", "html").mapInPandas(read, "_host string, _row long, whole long, names array<long>")
+    trees = rows.select("_host", "_row", "_again", "html").mapInPandas(read, "_host string, _row long, _again long, whole long, names array<long>")
     trees = cut(trees, "trees")
     one = trees.groupBy("_host", "whole").agg(F.first("names").alias("names"))
     each = one.select("_host", "whole", F.explode("names").alias("name"))
     often = each.groupBy("_host", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("_host", "name")
-    # A page's own subtrees bound what is collected for it.
-    hits = each.join(often, ["_host", "name"]).groupBy("_host", "whole").agg(F.collect_set("name").alias("template"))
-    hits = trees.select("_host", "whole", "_row").distinct().join(hits, ["_host", "whole"]).select("_row", "template")
+    # Written: a menu that all pages of a large site have meets a plain table, by broadcast or split over tasks. A page's own subtrees bound what is collected for it.
+    hits = each.join(cut(often, "templates"), ["_host", "name"]).groupBy("_host", "whole").agg(F.collect_set("name").alias("template"))
+    hits = trees.select("_host", "whole", "_row", "_again").distinct().join(hits, ["_host", "whole"])
+    hits = cut(hits.dropDuplicates(["_row", "_again"]).select("_row", "_again", "template"), "page-templates")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [Page(x).text(set(t) if t is not None else frozenset()) for x, t in zip(batch["html"], batch["template"], strict=True)]
+            texts = [Page(x).text(set(t) if t is not None else frozenset(), rules) for x, t in zip(batch["html"], batch["template"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64").array, "url": batch["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
-    joined = rows.join(hits, "_row", "left").select("page_id", "url", "html", "template")
+    joined = rows.join(hits, ["_row", "_again"], "left").select("page_id", "url", "html", "template")
     return joined.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
