@@ -5,42 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphstream.llm import bpe, mixing, neardup, quality, repeats
-from glyphstream.llm.store import cut, small_batches, table
+from glyphstream.llm.store import cut, drop, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine rejects go."""
+    """Documents that the factorisation machine rejects go. A null text is judged like an empty one; a row without an id is judged by its text; repeated rows alike."""
     small_batches(spark)
-    machine = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, machine).where("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; rows without an id stay."""
+    """Of each group of near copies the document with the least id stays; rows without an id or a word stay. Verdicts are of rows (id and text)."""
     small_batches(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(cut(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return neardup.drop_near_duplicates(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a smaller id has go from the texts; n_chars follows. Every document stays."""
+    """Passages that a smaller id has go from the texts; n_chars follows. Every document stays; a null text becomes an empty one."""
     small_batches(spark)
-    out = repeats.remove_repeats(docs)
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    return repeats.without_repeats(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 3 times."""
+    """Each document as often as the mix takes it, 0 to 3 times. A null text has no words, a null source is a source of its own."""
     small_batches(spark)
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids and decoded text, a row for each row of the mix."""
+    """doc_id, n_tokens and the hashes of ids and decoded text, a row for each row of the mix; a null text has no tokens."""
     small_batches(spark)
     return bpe.encode_documents(docs)
 
@@ -58,7 +53,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage reads the table that the one before wrote; tables that nothing reads any more are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
