@@ -8,15 +8,16 @@ v led. All arcs of one label always share their target, so a state is named by t
 label that leads to it.
 
 explicit_automaton() puts the gadgets on one after another and holds every arc. For a
-vocabulary of 49k merges that would be over 10**9 arcs, so Automaton decides single
-arcs from the ranks of the gadgets instead: an arc into b from the state after a is
-the arc of a's right part as it was when a's gadget came, or the arc of b's left part
-just after b's gadget came, whichever gadget is younger, unless the pair (a, b) has a
-gadget of its own by then. Arcs that were asked for stay in the transition table.
-
-Encoding runs over the symbols of a word from left to right: for every end it finds
-the one token that ends there and has an arc from the state of the token before it.
-Decoding emits the labels of the arcs.
+vocabulary of 49k merges that would be over 10**9 arcs, so Automaton keeps the states
+persistently: a gadget writes one record, which says that from its time on the copy of
+the state after u differs from its parent by the arc v that is gone, and that the label
+uv has come beside u. What a state has is then read off the records of its ancestors,
+newest first; answers stay in the transition table.
+
+Encoding runs over the symbols of a word from left to right through integer tables: one
+transition gives the longest token that ends at the symbol, a chain gives the shorter
+ones, and the first of them that has an arc from the state of the token before it is the
+one token of the accepted path that ends there. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -25,24 +26,55 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 
 END = "</w>"
-WORDS_KEPT = 120_000
+#: Entries of each generation of a table of words, and of the tables of transitions.
+CHUNKS_KEPT, WORDS_KEPT, ARCS_KEPT = 150_000, 70_000, 300_000
 #: White space of the tokenizer's pattern, by its Unicode property.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z]+")
-ANY_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 #: Characters that str.split() takes for white space and the pattern doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 SPLIT_ODD = re.compile(f"[{SPACES}]+")
-STRIPPED = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+STRIPPED = "\t\n\x0b\x0c\r \x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 NEVER = 1 << 60
+SHIFT = 20
+HEAD = 6
+# What Unicode 16 added to the letters and numbers, and what 16 and 17 added to the
+# lower cases (first and last upper case, distance), as far as the library's tables know it.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D4F), (0x10D50, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF),
+    (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+LOWER_17 = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+NEW_LOWER = {c: c + by for first, last, by in LOWER_17 for c in range(first, last + 1)}
+NEW_UPPER = re.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
+
+
+def _ranges(kind: str) -> str:
+    """Code points whose general category begins with `kind`, as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == kind:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*out, *{"L": LETTERS_16, "N": NUMBERS_16}[kind]])
+
+
+@cache
+def any_word() -> re.Pattern:
+    """The tokenizer's pattern, with the letters and numbers of Unicode 16: Python's own tables and what is newer than version 15.1."""
+    letters, numbers = _ranges("L"), _ranges("N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
 
 
 def byte_letters() -> list[str]:
@@ -52,85 +84,166 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
 
 
-LETTERS = {b: c for b, c in enumerate(byte_letters())}
-
-
 class Automaton:
-    """Transitions between labels. merges: pairs of labels by rank."""
+    """Transitions between labels, which are numbers: the symbols given first, then other base symbols and merges as they come."""
 
-    def __init__(self, merges: list[tuple[str, str]]):
+    def __init__(self, merges: list[tuple[str, str]], symbols: list[str] | None = None):
         made = {u + v for u, v in merges}
         if len(made) != len(merges):
             raise ValueError("two merges make the same token")
-        self.rank: dict[tuple[str, str], int] = {}
-        self.parts: dict[str, tuple[int, str, str]] = {}
+        self.names: list[str] = []
+        self.numbers: dict[str, int] = {}
+        #: A label's gadget (-1: a base symbol), its two parts, and its length in symbols.
+        self.born: list[int] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.size: list[int] = []
+        #: From which gadget on the state after a label is a copy without an arc, by both labels.
+        self.gone: dict[int, int] = {}
+        self.arcs: dict[int, bool] = {}
+        for x in symbols or []:
+            self._label(x)
         for k, (u, v) in enumerate(merges):
             # A merge whose parts never stand together by then puts nothing on the automaton.
-            if all(x not in made or x in self.parts for x in (u, v)) and self._follow(u, v):
-                self.rank[u, v] = k
-                self.parts[u + v] = (k, u, v)
-        self.tails = {x[i:] for x in self.parts for i in range(1, len(x))} | set(self.parts)
-        self.arcs: dict[tuple[str, str], bool] = {}
-        #: For beginnings of words, where their last token starts.
-        self.begun: dict[str, int] = {}
-
-    def _follow(self, a: str, b: str) -> bool:
-        when = NEVER
+            if any(x in made and x not in self.numbers for x in (u, v)):
+                continue
+            a, b = self._label(u), self._label(v)
+            if self._follow(a, b):
+                self.gone[a << SHIFT | b] = k
+                self._label(u + v, k, a, b)
+        self._compile()
+
+    def _label(self, name: str, born: int = -1, left: int = -1, right: int = -1) -> int:
+        got = self.numbers.get(name)
+        if got is None:
+            got = self.numbers[name] = len(self.names)
+            self.names.append(name)
+            self.born.append(born)
+            self.left.append(left)
+            self.right.append(right)
+            self.size.append(self.size[left] + self.size[right] if born >= 0 else 1)
+        return got
+
+    def _symbols(self, label: int) -> list[int]:
+        out, rest = [], [label]
+        while rest:
+            x = rest.pop()
+            if self.born[x] < 0:
+                out.append(x)
+            else:
+                rest += [self.right[x], self.left[x]]
+        return out
+
+    def _compile(self) -> None:
+        """The table that finds tokens by their ends: a tree of all labels' symbols, and for each node the one of its longest ending that is in the tree too."""
+        self.step: dict[int, int] = {}
+        self.jump: dict[int, int] = {}
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+        self.fail, self.best = [0], [-1]
+        depth: list[list[tuple[int, int, int]]] = []
+        node_of = []
+        for label in range(len(self.names)):
+            node = 0
+            for n, s in enumerate(self._symbols(label)):
+                key = node << SHIFT | s
+                after = self.step.get(key)
+                if after is None:
+                    after = self.step[key] = len(self.fail)
+                    self.fail.append(0)
+                    self.best.append(-1)
+                    if n == len(depth):
+                        depth.append([])
+                    depth[n].append((node, s, after))
+                node = after
+            self.best[node] = label
+            node_of.append(node)
+        for level in depth:
+            for node, s, after in level:
+                if node:
+                    self.fail[after] = self._step(self.fail[node], s)
+                if self.best[after] < 0:
+                    self.best[after] = self.best[self.fail[after]]
+        #: The next shorter token that ends like a token.
+        self.shorter = [self.best[self.fail[n]] for n in node_of]
+
+    def _step(self, node: int, symbol: int) -> int:
         while True:
-            if self.rank.get((a, b), NEVER) < when:
+            got = self.step.get(node << SHIFT | symbol)
+            if got is not None or not node:
+                return got or 0
+            node = self.fail[node]
+
+    def _follow(self, a: int, b: int) -> bool:
+        """Whether the state after a has the arc b, by the records: the younger of both labels leads back to the time of its gadget."""
+        when, born, gone = NEVER, self.born, self.gone
+        while True:
+            if gone.get(a << SHIFT | b, NEVER) < when:
                 return False
-            of_a, of_b = self.parts.get(a), self.parts.get(b)
-            if of_a is None and of_b is None:
-                return True
-            if of_b is None or (of_a is not None and of_a[0] > of_b[0]):
-                when, a = of_a[0], of_a[2]
+            x, y = born[a], born[b]
+            if x > y:
+                when, a = x, self.right[a]
+            elif y >= 0:
+                when, b = y + 1, self.left[b]
             else:
-                when, b = of_b[0] + 1, of_b[1]
+                return True
 
     def arc(self, a: str, b: str) -> bool:
         """Whether the state after label a has an arc with label b."""
-        got = self.arcs.get((a, b))
-        if got is None:
-            if len(self.arcs) > WORDS_KEPT:
-                self.arcs.clear()
-            got = self.arcs[a, b] = self._follow(a, b)
-        return got
-
-    def path(self, symbols: str, end: str = END) -> list[str]:
-        """The labels of the only accepted path over the symbols; the last one carries the end mark."""
-        n = len(symbols)
-        token: list[str] = [""] * (n + 1)
-        start = [0] * (n + 1)
-        parts, arc, tails = self.parts, self.arc, self.tails
-        if len(self.begun) > WORDS_KEPT:
-            self.begun.clear()
-        for j in range(1, n + 1):
-            own = symbols[:j]
-            if j == n:
-                own += end
-            else:
-                # Words that begin alike run through the same transitions.
-                i = self.begun.get(own)
-                if i is not None:
-                    start[j], token[j] = i, own[i:]
-                    continue
-            i, found = j - 1, [j - 1]
-            # Longer tokens end like shorter tails, so the first string that ends no token ends the search.
-            while i > 0 and own[i - 1 :] in tails:
-                i -= 1
-                if own[i:] in parts:
-                    found.append(i)
-            for i in reversed(found):
-                if i == 0 or arc(token[i], own[i:]):
-                    token[j], start[j] = own[i:], i
+        return self._follow(self._label(a), self._label(b))
+
+    def codes(self, symbols: list[int], head: bytes | None = None) -> list[int]:
+        """The labels of the only accepted path over base symbols. Words that begin with the same `head` (the first HEAD symbols, or None) share its transitions."""
+        step, jump, best, size, shorter, arcs = self.step, self.jump, self.best, self.size, self.shorter, self.arcs
+        ends, node, j = [], 0, 0
+        if head is not None:
+            begun = self.heads.get(head)
+            if begun is not None:
+                node, ends, j = begun[0], list(begun[1]), HEAD
+                head = None
+        for s in symbols[j:] if j else symbols:
+            j += 1
+            key = node << SHIFT | s
+            node = step.get(key)
+            if node is None:
+                node = jump.get(key)
+                if node is None:
+                    if len(jump) > ARCS_KEPT:
+                        jump.clear()
+                    node = jump[key] = self._step(key >> SHIFT, s)
+            t = best[node]
+            i = j - size[t]
+            while i:
+                pair = ends[i - 1] << SHIFT | t
+                go = arcs.get(pair)
+                if go is None:
+                    if len(arcs) > ARCS_KEPT:
+                        arcs.clear()
+                    go = arcs[pair] = self._follow(ends[i - 1], t)
+                if go:
                     break
-            if j < n:
-                self.begun[own] = start[j]
-        out, j = [], n
+                t = shorter[t]
+                i = j - size[t]
+            ends.append(t)
+            if head is not None and j == HEAD:
+                if len(self.heads) > CHUNKS_KEPT:
+                    self.heads.clear()
+                self.heads[head] = node, tuple(ends)
+        out, j = [], len(ends)
         while j:
-            out.append(token[j])
-            j = start[j]
-        return out[::-1]
+            t = ends[j - 1]
+            out.append(t)
+            j -= size[t]
+        out.reverse()
+        return out
+
+    def path(self, symbols: str, end: str = END) -> list[str]:
+        """codes() by names; the last symbol carries the end mark. Symbols that no merge has get labels of their own."""
+        own = [*symbols[:-1], symbols[-1] + end] if symbols else []
+        for x in own:
+            self._label(x)
+        if len(self.shorter) < len(self.names):
+            self._compile()
+        return [self.names[x] for x in self.codes([self.numbers[x] for x in own])]
 
 
 def explicit_automaton(symbols: list[str], merges: list[tuple[str, str]]) -> tuple[dict[str, int], list[set[str]]]:
@@ -150,55 +263,67 @@ def explicit_automaton(symbols: list[str], merges: list[tuple[str, str]]) -> tup
     return after, arcs
 
 
+class Recent(dict):
+    """What `make` gives for a key. Two generations of `size` entries: what is asked for again stays."""
+
+    def __init__(self, make: Callable[[str], tuple[str, str]], size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> tuple[str, str]:
+        got = self.old.pop(key, None) or self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Coder:
     """Words of a tokenizer file to ids and back to labels."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
-        self.ids = vocabulary
         self.special = special
         self.labels = {i: x for x, i in (vocabulary | special).items()}
-        self.automaton = Automaton(merges)
+        letters = byte_letters()
+        # A byte is its own label, and 256 more at a word's end.
+        self.automaton = Automaton(merges, letters + [x + END for x in letters])
+        self.names = self.automaton.names
+        self.ids = [str(vocabulary[x]) if x in vocabulary else "" for x in self.names]
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, str] = {}
-        self.spelled: dict[str, str] = {}
-        self.of_word: dict[str, tuple[str, str]] = {}
+        self.words = Recent(self._word, WORDS_KEPT)
+        self.chunks = Recent(self._chunk, CHUNKS_KEPT)
 
-    def word(self, word: str) -> tuple[str, str]:
+    def _word(self, word: str) -> tuple[str, str]:
         """The ids and the labels of a word, each joined by one space."""
-        got = self.of_word.get(word)
-        if got is None:
-            path = self.automaton.path(word.encode().decode("latin-1").translate(LETTERS))
-            got = self.of_word[word] = " ".join([str(self.ids[x]) for x in path]), " ".join(path)
-        return got
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds chunks between white space to the tables; they start anew once they are full."""
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-            self.spelled.clear()
-        if len(self.of_word) > WORDS_KEPT:
-            self.of_word.clear()
-        for chunk in [c for c in set(chunks) if c not in self.known]:
-            words = (ASCII_WORD if chunk.isascii() else ANY_WORD).findall(chunk)
-            self.known[chunk], self.spelled[chunk] = self.word(words[0]) if len(words) == 1 else map(" ".join, zip(*map(self.word, words), strict=True))
+        data = word.encode()
+        own = list(data)
+        own[-1] += 256
+        path = self.automaton.codes(own, data[:HEAD] if len(data) > HEAD else None)
+        return " ".join(map(self.ids.__getitem__, path)), " ".join(map(self.names.__getitem__, path))
+
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        if chunk.isalpha():
+            return self._word(chunk)
+        words = (ASCII_WORD if chunk.isascii() else any_word()).findall(chunk)
+        got = [self.words[w] for w in words]
+        return " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
     def _piece(self, piece: str) -> tuple[str, str]:
         """A text without special tokens. No token crosses white space, so whole chunks are looked up."""
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece)
             # Lower case goes by single characters: a sigma at a word's end is no other letter.
-            piece = "".join([c.lower() for c in piece]) if "\u03a3" in piece else piece.lower()
+            piece = "".join([c.lower() for c in piece]) if "Σ" in piece else piece.lower()
+            if NEW_UPPER.search(piece):
+                piece = piece.translate(NEW_LOWER)
         else:
             piece = piece.lower()
         chunks = SPLIT_ODD.split(piece.strip(STRIPPED)) if ODD.search(piece) else piece.split()
-        if chunks == [""]:
+        if not chunks or chunks == [""]:
             return "", ""
-        try:
-            return " ".join(map(self.known.__getitem__, chunks)), " ".join(map(self.spelled.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-            # The tables start anew at most once a text, before its chunks are added.
-            return " ".join(map(self.known.__getitem__, chunks)), " ".join(map(self.spelled.__getitem__, chunks))
+        ids, spelled = zip(*map(self.chunks.__getitem__, chunks), strict=True)
+        return " ".join(ids), " ".join(spelled)
 
     def coded(self, text: str) -> tuple[str, str]:
         """The ids and the decoded text, each joined by one space."""
