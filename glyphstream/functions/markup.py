@@ -31,7 +31,8 @@ def colour(value: Column) -> Column:
 def without_placeholders(text: Column) -> Column:
     """{...} placeholders go, with the doubled spaces and lonely commas they leave."""
     t = F.regexp_replace(text, r"\{[^{}]*\}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?])", "$1"), r"^[,\s]+", ""), r"  +", " "))
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+([,.!?])", "$1"), r"([,、])(?:\s*[,、])+", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"^[,、\s]+", ""), r"  +", " "))
 
 
 def ass_escape(text: Column) -> Column:

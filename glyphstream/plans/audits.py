@@ -131,7 +131,7 @@ def typing_slope(spark, d):
     return g.where("n >= 3").select("stream_id", F.round("s", 9).alias("slope"), F.round("i", 3).alias("intercept"), "n")
 
 
-@query(CUE_SQL + ", e AS (SELECT *, t_start + len * 40000 AS t_end, lead(t_start) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM cues) SELECT conv_id, turn, greatest(t_start, least(t_start + len * 10000, coalesce(nxt, t_end) - 1)) AS start_full, t_end FROM e")
+@query(CUE_SQL + ", e AS (SELECT conv_id, turn, len, CAST(t_start AS BIGINT) AS t_start, CAST(t_start + len * 40000 AS BIGINT) AS t_end, CAST(lead(t_start) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS nxt FROM cues) SELECT conv_id, turn, greatest(t_start, least(t_start + len * 10000, coalesce(nxt, t_end) - 1)) AS start_full, t_end FROM e")
 def cue_start_full(spark, d):
     """The time a cue's text is whole, kept before the next cue's start."""
     c = cue_view(spark, d).withColumn("nxt", F.lead("t_start").over(Window.partitionBy("conv_id").orderBy("turn")))
@@ -139,19 +139,6 @@ def cue_start_full(spark, d):
     return c.select("conv_id", "turn", full.alias("start_full"), "t_end")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id % 50 AS a, (user_id * 7 + 3) % 50 AS b FROM events), r AS (SELECT DISTINCT a AS root, a AS node, 0 AS depth FROM e WHERE a < 5 UNION ALL SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 4) SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2")
-def branch_reach(spark, d):
-    """Nodes that a branch reaches in at most four steps, with the fewest steps."""
-    u = F.col("user_id")
-    e = table(spark, d, "events").select((u % 50).alias("a"), ((u * 7 + 3) % 50).alias("b")).distinct()
-    front = e.where("a < 5").select(F.col("a").alias("root"), F.col("a").alias("node")).distinct().withColumn("depth", F.lit(0))
-    every = front
-    for step in range(1, 5):
-        front = front.join(e, front["node"] == e["a"]).select("root", F.col("b").alias("node")).distinct().withColumn("depth", F.lit(step))
-        every = every.unionByName(front)
-    return every.groupBy("root", "node").agg(F.min("depth").alias("depth"))
-
-
 @query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, user_id * 7 + 3 AS b FROM events), r AS (SELECT DISTINCT a AS root, a AS node, 0 AS depth FROM e UNION ALL SELECT r.root, e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node) SELECT root, node, min(depth) AS depth FROM r GROUP BY 1, 2")
 def branch_reach_all(spark, d):
     """Nodes that each branch reaches in any number of steps, with the fewest steps."""

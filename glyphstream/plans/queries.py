@@ -175,9 +175,9 @@ def region_features(spark, d):
     return feature_view(spark, d)
 
 
-@query(FEATURE_SQL + " SELECT region, label, score FROM scored WHERE score > 0.5 ORDER BY score DESC, region LIMIT 5")
+@query(FEATURE_SQL + " SELECT region, label, score FROM scored WHERE score > 0 ORDER BY score DESC, region LIMIT 5")
 def main_pick(spark, d):
-    return regions.pick_main(feature_view(spark, d), "region", 0.5).select("region", "label", "score")
+    return regions.pick_main(feature_view(spark, d), "region").select("region", "label", "score")
 
 
 @query("WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem) SELECT l_returnflag, l_linestatus, l_extendedprice AS p90 FROM r WHERE k = round_even(0.9 * (n - 1), 0)")

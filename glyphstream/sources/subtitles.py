@@ -23,13 +23,25 @@ def _us(stamp: str, unit: int) -> F.Column:
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    """(n, t_start, t_end, lines) of each block; blocks are parted by a blank line."""
-    block = F.split(F.regexp_replace(F.trim("value"), "\r", ""), "\n")
-    rows = spark.read.text(path, lineSep="\n\n").where(F.col("value").contains("-->")).withColumn("b", block)
-    rows = rows.withColumn("b", F.filter("b", lambda x: F.trim(x) != ""))
-    times = F.split(F.get("b", F.lit(1)), " --> ")
-    rows = rows.withColumns({"a": F.get(times, F.lit(0)), "z": F.get(times, F.lit(1))})
-    return rows.select(F.get("b", F.lit(0)).cast("long").alias("n"), _us("a", 1000).alias("t_start"), _us("z", 1000).alias("t_end"), F.slice("b", 3, 1 << 20).alias("lines"))
+    """(n, t_start, t_end, lines) of each block. Line ends of any kind; blocks are parted by lines without a letter. A file is read whole, as subtitles are small."""
+    text = F.regexp_replace("value", "\r\n?", "\n")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.split(text, r"\n[ \t]*(?:\n[ \t]*)*\n|\n[ \t]*\n")).alias("value"))
+    rows = rows.where(F.col("value").contains("-->")).withColumn("b", F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))
+    at = F.array_position(F.transform("b", lambda x: x.contains("-->")), F.lit(True)).cast("int")
+    times = F.split(F.get("b", at - 1), " *--> *")
+    rows = rows.withColumns({"at": at, "a": F.get(times, F.lit(0)), "z": F.get(times, F.lit(1))})
+    return rows.select(F.when(F.col("at") > 1, F.regexp_extract(F.get("b", F.col("at") - 2), r"(\d+)", 1)).cast("long").alias("n"), _us("a", 1000).alias("t_start"), _us("z", 1000).alias("t_end"), F.slice("b", F.col("at") + 1, F.lit(1 << 20)).alias("lines"))
+
+
+def read_subs(spark: SparkSession, paths: list[str], by_time: bool = False) -> DataFrame:
+    """Cues of several files with `file` (its place in paths) and `ord`, their order: file after file, or all by time."""
+    one = [(read_ass(spark, p).withColumn("n", F.monotonically_increasing_id()) if p.endswith(".ass") else read_srt(spark, p)).select(F.lit(k).alias("file"), "n", "t_start", "t_end", "lines") for k, p in enumerate(paths)]
+    rows = one[0]
+    for other in one[1:]:
+        rows = rows.unionByName(other)
+    order = ["t_start", "t_end", "file", "n"] if by_time else ["file", "n", "t_start"]
+    # The cues of a few subtitle files are one sequence.
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
 
 
 def write_srt(cues: DataFrame, path: str) -> None:

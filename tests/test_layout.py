@@ -42,7 +42,7 @@ def test_slot_reasons(spark):
 def test_markup(spark):
     df = spark.createDataFrame([("<b>Hi</b>, {NAME}, you", "#AbC", [0, 1, 1, 0, 1, 2]), (None, "nocolour", None)], "t string, c string, i array<int>")
     got = df.select(markup.without_placeholders(markup.plain(F.col("t"))), markup.colour(F.col("c")), markup.ctc_text(F.col("i"), "ab"), markup.wrap(F.col("t"), 6.0)).collect()
-    assert list(got[0])[:3] == ["Hi,, you", "#aabbcc", "aab"] and got[1][1] is None
+    assert list(got[0])[:3] == ["Hi, you", "#aabbcc", "aab"] and got[1][1] is None
     assert markup.wrapped("one two three", 4.0) == ["one two", "three"]
     assert markup.wrapped("日本語。日本", 3.0) == ["日本語。", "日本"]
 

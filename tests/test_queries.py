@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from glyphstream.plans import audits  # noqa: F401  adds its queries
+from glyphstream.plans import artifacts, audits  # noqa: F401  add their queries
 from glyphstream.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
