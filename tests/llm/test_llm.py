@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphstream.llm import bpe, licence, links, mixing, neardup, outliers, pages, quality, repeats, shape, shingles, toxicity, vectors
-from glyphstream.llm.queries import QUERIES
+from glyphstream.llm.queries import ORACLE_SQL, QUERIES
 
 CLASH = "score double, kept boolean, label int, text_ string, component_id long, size long, taken long, copies long, h1 long, rep long, key long, bucket int, chunk long, list long, n_bytes long, predicted int, toxic_spans int, _size int, _key int, n_words int, html_ string"
 LONG = "the quick brown fox jumps over the lazy dog again and " * 2500
@@ -540,3 +540,16 @@ def test_every_letter_is_split_as_the_library_does():
     for lo in range(0, len(codes), 20_000):
         texts = [f"a{chr(c)}{chr(c)}b" for c in codes[lo : lo + 20_000]]
         assert [x for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids != own.encode(x)] == []
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(tiny, results, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL[name]).df()
+    got = results[name][list(want.columns)]
+    key = want.columns[0]
+    assert got.sort_values(key).astype(str).to_numpy().tolist() == want.sort_values(key).astype(str).to_numpy().tolist()
