@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
-from .words import _digest
+from .words import _digest, give_back
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +50,7 @@ WORD = re.compile(r"[a-z]+")
 LEAST_PAGES = 4
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -60,6 +60,7 @@ class Node:
     parts: list[str] = field(default_factory=list)
     name: int = 0
     holds_main: bool = False
+    has_text: bool = False
 
 
 def _marks(tag: str, attributes: str, inside_main: bool) -> tuple[bool, str, str]:
@@ -119,6 +120,7 @@ class Page:
         self.pieces.append((self._open[-1], text))
         if text.strip():
             self.nodes[self._open[-1]].parts.append(" ".join(text.split()))
+            self.nodes[self._open[-1]].has_text = True
 
     def _break(self) -> None:
         self.pieces.append((self._open[-1], None))
@@ -130,6 +132,7 @@ class Page:
         if node.parent >= 0:
             above = self.nodes[node.parent]
             above.parts.append(f"\x01{node.name}")
+            above.has_text = above.has_text or node.has_text
             above.holds_main = above.holds_main or node.holds_main or bool(node.main)
         node.parts = []
 
@@ -172,8 +175,8 @@ class Page:
             self._break()
 
     def _could_be(self, x: Node) -> bool:
-        """Whether an element could be template: one that neither is nor holds a main element; other kinds than containers only outside of one."""
-        if x.parent < 0 or x.holds_main or (x.main and not self.nodes[x.parent].main):
+        """Whether an element could be template: one with text that neither is nor holds a main element; other kinds than containers only outside of one."""
+        if x.parent < 0 or not x.has_text or x.holds_main or (x.main and not self.nodes[x.parent].main):
             return False
         return x.tag in CONTAINER or (not x.main and self.nodes[0].holds_main)
 
@@ -195,6 +198,12 @@ class Page:
         return " ".join("".join([" " if p is None else p for k, p in self.pieces if p is None or (inside[k] and not gone[k])]).split())
 
 
+def _outline(html: str | None) -> tuple[int, list[int]]:
+    """The name of a page's whole tree, and those of the elements that could be template."""
+    page = Page(html)
+    return page.nodes[0].name, list(page.subtrees())
+
+
 def host_of(url: F.Column) -> F.Column:
     """The host in lower case, without its port; empty if the url has none."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
@@ -212,8 +221,10 @@ def extract_text(pages: DataFrame, least: int = LEAST_PAGES, rules: bool = True)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [Page(x) for x in batch["html"]]
-            yield pd.DataFrame({"_host": batch["_host"], "_row": batch["_row"], "_again": batch["_again"], "whole": [x.nodes[0].name for x in got], "names": [list(x.subtrees()) for x in got]})
+            # One tree at a time: a batch of them would take many times the batch's own memory.
+            got = [_outline(x) for x in batch["html"]]
+            yield pd.DataFrame({"_host": batch["_host"], "_row": batch["_row"], "_again": batch["_again"], "whole": [x[0] for x in got], "names": [x[1] for x in got]})
+            give_back()
 
     trees = rows.select("_host", "_row", "_again", "html").mapInPandas(read, "_host string, _row long, _again long, whole long, names array<long>")
     trees = cut(trees, "trees")
@@ -228,6 +239,7 @@ def extract_text(pages: DataFrame, least: int = LEAST_PAGES, rules: bool = True)
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [Page(x).text(set(t) if t is not None else frozenset(), rules) for x, t in zip(batch["html"], batch["template"], strict=True)]
+            give_back()
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64").array, "url": batch["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     joined = rows.join(hits, ["_row", "_again"], "left").select("page_id", "url", "html", "template")
