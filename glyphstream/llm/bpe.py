@@ -32,6 +32,8 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .words import entering
+
 END = "</w>"
 #: Entries of each generation of a table of words, and of the tables of transitions.
 CHUNKS_KEPT, WORDS_KEPT, ARCS_KEPT = 150_000, 70_000, 300_000
@@ -380,6 +382,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entering("bpe", coder.cache_clear)
         own = coder(path)
         for batch in batches:
             rows = []

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .links import components
 from .store import cut, drop
+from .words import give_back, words_begin
 
 #: Positions that may differ, and by that the number of chunks: two errors have to fall into each to miss a pair.
 THRESHOLD = 23
@@ -44,6 +45,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the text's hash, the set's name (h1, h2) and its signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_begin()
         for batch in batches:
             sets = [S.shingle_set(x) for x in batch["text"]]
             names = [S.set_name(x) for x in sets]
@@ -57,6 +59,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     "signature": [S.signature(x) if len(x) else np.empty(0, np.int32) for x in sets],
                 }
             )
+        give_back()
 
     return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, h1 long, h2 long, signature array<int>")
 
@@ -75,6 +78,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, members) for the wanted ids; a repeated id with several texts has several rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_begin()
         for batch in batches:
             sets = [S.shingle_set(x) for x in batch["text"]]
             names = [S.set_name(x) for x in sets]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import shape
 from .samples import held_out, labelled
-from .words import numbered
+from .words import numbered, words_begin
 
 #: Labelled documents that the model is fitted on at most.
 SAMPLE_ROWS = 6000
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
 def _scoring(machine: Machine):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        words_begin()
         return pd.Series(machine.scores([features(x) for x in texts]), dtype=float)
 
     return score

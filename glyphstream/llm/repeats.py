@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import cut
-from .words import give_back, mixed
+from .words import entering, give_back, mixed
 
 try:
     import zstandard
@@ -193,6 +193,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """Documents gathered to chunks, each an Arrow stream; bucket has its bytes of text. A chunk is named by its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("repeats")
         held: list[pa.RecordBatch] = []
         size = 0
 

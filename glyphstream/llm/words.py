@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,25 @@ def give_back() -> None:
         _TRIM(0)
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def entering(name: str, clear: Callable[[], object] | None = None) -> None:
+    """Tells a worker which operator it runs now: tables that other operators keep there are cleared, as workers live on from stage to stage."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    if others:
+        give_back()
+    if clear is not None:
+        _held[name] = clear
+
+
+def words_begin() -> None:
+    """entering() for the operators that number words."""
+    entering("words", _numbers.clear)
+
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
