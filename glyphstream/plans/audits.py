@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
-from ..operators import graph, intervals
+from ..operators import graph, intervals, timing
 from .queries import CUE_SQL, HOUR, LINES_SQL, OBS_SQL, cue_view, line_view, obs_view, query, table
 
 
@@ -37,6 +37,44 @@ def timing_suspects(spark, d):
     return a1.unionByName(a2)
 
 
+DAY_US = 24 * HOUR
+
+
+@query(OBS_SQL + f""", m AS (SELECT stream_id, t_us // {DAY_US} AS day, event_id, t_start, t_start + length(text) * 200000 AS t_full, y0, y1 FROM obs),
+ f AS (SELECT *, row_number() OVER (PARTITION BY stream_id, day ORDER BY t_start, event_id) AS k FROM m),
+ n AS (SELECT b.stream_id, b.day, a.event_id AS first_id, a.t_full, b.event_id AS next_id, b.t_start, row_number() OVER (PARTITION BY b.stream_id, b.day ORDER BY b.t_start, b.event_id) AS r FROM f a JOIN f b ON a.stream_id = b.stream_id AND a.day = b.day AND a.k = 1 AND b.k > 1
+ WHERE NOT (greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * least(a.y1 - a.y0, b.y1 - b.y0)))
+ SELECT stream_id, day, first_id, next_id, t_start - t_full AS gap_us FROM n WHERE r = 1 AND t_start - t_full >= 1500000""")
+def dragged_starts(spark, d):
+    """B1: one member stands long before another row of its item begins; a stream's day is an item."""
+    o = obs_view(spark, d).select("stream_id", F.floor(F.col("t_us") / DAY_US).alias("day"), F.col("event_id").alias("id"), "t_start", (F.col("t_start") + F.length("text") * 200_000).alias("t_full"), F.col("t_start").alias("item_start"), "box")
+    return timing.dragged_starts(o, ["stream_id", "day"])
+
+
+def neighbour_sql(value: str, where: str, more: str) -> str:
+    """Rows of obs against the median of five on either side in their stream, or of all where there are fewer than three."""
+    return OBS_SQL + f""", v AS (SELECT stream_id, event_id, t_us, length(text) AS n_chars, t_end - t_start AS us, {value} AS x FROM obs WHERE {where}),
+ k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t_us, event_id) AS k FROM v),
+ g AS (SELECT a.stream_id, a.event_id, a.us, a.x, count(b.x) AS n, quantile_cont(b.x, 0.5) AS near FROM k a LEFT JOIN k b ON a.stream_id = b.stream_id AND b.k BETWEEN a.k - 5 AND a.k + 5 AND b.k <> a.k GROUP BY ALL),
+ m AS (SELECT *, CASE WHEN n >= 3 THEN near ELSE (SELECT quantile_cont(x, 0.5) FROM v) END AS med FROM g) SELECT stream_id, event_id, round(x, 2) AS us_a_char, round(med, 2) AS median{more}"""
+
+
+@query(neighbour_sql("(t_end - t_start) / (length(text) - 1)", "t_end > t_start AND length(text) >= 4", ", CASE WHEN x > med THEN 'slow' ELSE 'fast' END AS side FROM m WHERE med > 0 AND (x > 3 * med OR x * 3 < med)"))
+def reveal_outliers(spark, d):
+    """B2: letters that come much slower or faster than those of the neighbours."""
+    o = obs_view(spark, d).select("stream_id", "event_id", "t_us", F.length("text").alias("n_chars"), (F.col("t_end") - F.col("t_start")).alias("reveal_us"))
+    got = timing.reveal_outliers(o, ["stream_id"], ["t_us", "event_id"], chars=4)
+    return got.select("stream_id", "event_id", F.round("us_a_char", 2).alias("us_a_char"), F.round("median", 2).alias("median"), "side")
+
+
+@query(neighbour_sql("(t_end - t_start) / length(text)", "length(text) >= 4", " FROM m WHERE med > 0 AND x > 4 * med AND us >= 3000000"))
+def dwell_outliers(spark, d):
+    """B3: items that stay much longer a letter than their neighbours."""
+    o = obs_view(spark, d).select("stream_id", "event_id", "t_us", F.length("text").alias("n_chars"), "t_end", F.col("t_start").alias("shown"))
+    got = timing.dwell_outliers(o, ["stream_id"], ["t_us", "event_id"], chars=4)
+    return got.select("stream_id", "event_id", F.round("us_a_char", 2).alias("us_a_char"), F.round("median", 2).alias("median"))
+
+
 @query(OBS_SQL + ", e AS (SELECT event_id, abs(CAST(round(value * 10) AS BIGINT) % 23 - 3) AS off FROM obs) SELECT CASE WHEN off <= 1 THEN '0-1' WHEN off <= 3 THEN '2-3' WHEN off <= 10 THEN '4-10' ELSE 'over 10' END AS bin, count(*) AS n, CAST(sum(off) AS BIGINT) AS frames FROM e GROUP BY 1")
 def keyframe_bins(spark, d):
     """Errors of key frames by size."""
