@@ -32,11 +32,11 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .words import entering
+from .words import entering, give_back
 
 END = "</w>"
-#: Entries of each generation of a table of words, and of the tables of transitions.
-CHUNKS_KEPT, WORDS_KEPT, ARCS_KEPT = 150_000, 70_000, 300_000
+#: Entries of each generation of the table of chunks (that of words has half of it), and of the tables of transitions.
+CHUNKS_KEPT, ARCS_KEPT = 150_000, 300_000
 #: White space of the tokenizer's pattern, by its Unicode property.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z]+")
@@ -89,7 +89,8 @@ def byte_letters() -> list[str]:
 class Automaton:
     """Transitions between labels, which are numbers: the symbols given first, then other base symbols and merges as they come."""
 
-    def __init__(self, merges: list[tuple[str, str]], symbols: list[str] | None = None):
+    def __init__(self, merges: list[tuple[str, str]], symbols: list[str] | None = None, kept: int = CHUNKS_KEPT):
+        self.kept = kept
         made = {u + v for u, v in merges}
         if len(made) != len(merges):
             raise ValueError("two merges make the same token")
@@ -227,7 +228,7 @@ class Automaton:
                 i = j - size[t]
             ends.append(t)
             if head is not None and j == HEAD:
-                if len(self.heads) > CHUNKS_KEPT:
+                if len(self.heads) >= self.kept:
                     self.heads.clear()
                 self.heads[head] = node, tuple(ends)
         out, j = [], len(ends)
@@ -268,11 +269,11 @@ def explicit_automaton(symbols: list[str], merges: list[tuple[str, str]]) -> tup
 class Recent(dict):
     """What `make` gives for a key. Two generations of `size` entries: what is asked for again stays."""
 
-    def __init__(self, make: Callable[[str], tuple[str, str]], size: int):
+    def __init__(self, make: Callable[[str], str], size: int):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> str:
         got = self.old.pop(key, None) or self.make(key)
         if len(self) >= self.size:
             self.old = dict(self)
@@ -282,36 +283,33 @@ class Recent(dict):
 
 
 class Coder:
-    """Words of a tokenizer file to ids and back to labels."""
+    """Words of a tokenizer file to ids and back to labels. Tables keep the ids alone, as text; labels are read off the ids of a whole text."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int], kept: int = CHUNKS_KEPT):
         self.special = special
-        self.labels = {i: x for x, i in (vocabulary | special).items()}
         letters = byte_letters()
         # A byte is its own label, and 256 more at a word's end.
-        self.automaton = Automaton(merges, letters + [x + END for x in letters])
-        self.names = self.automaton.names
-        self.ids = [str(vocabulary[x]) if x in vocabulary else "" for x in self.names]
+        self.automaton = Automaton(merges, letters + [x + END for x in letters], kept)
+        self.ids = [str(vocabulary[x]) if x in vocabulary else "" for x in self.automaton.names]
+        self.labels = {str(i): x for x, i in (vocabulary | special).items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.words = Recent(self._word, WORDS_KEPT)
-        self.chunks = Recent(self._chunk, CHUNKS_KEPT)
+        self.words = Recent(self._word, max(1, kept // 2))
+        self.chunks = Recent(self._chunk, kept)
 
-    def _word(self, word: str) -> tuple[str, str]:
-        """The ids and the labels of a word, each joined by one space."""
+    def _word(self, word: str) -> str:
+        """The ids of a word, joined by one space."""
         data = word.encode()
         own = list(data)
         own[-1] += 256
-        path = self.automaton.codes(own, data[:HEAD] if len(data) > HEAD else None)
-        return " ".join(map(self.ids.__getitem__, path)), " ".join(map(self.names.__getitem__, path))
+        return " ".join(map(self.ids.__getitem__, self.automaton.codes(own, data[:HEAD] if len(data) > HEAD else None)))
 
-    def _chunk(self, chunk: str) -> tuple[str, str]:
+    def _chunk(self, chunk: str) -> str:
         if chunk.isalpha():
             return self._word(chunk)
         words = (ASCII_WORD if chunk.isascii() else any_word()).findall(chunk)
-        got = [self.words[w] for w in words]
-        return " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+        return " ".join(map(self.words.__getitem__, words))
 
-    def _piece(self, piece: str) -> tuple[str, str]:
+    def _piece(self, piece: str) -> str:
         """A text without special tokens. No token crosses white space, so whole chunks are looked up."""
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece)
@@ -322,29 +320,29 @@ class Coder:
         else:
             piece = piece.lower()
         chunks = SPLIT_ODD.split(piece.strip(STRIPPED)) if ODD.search(piece) else piece.split()
-        if not chunks or chunks == [""]:
-            return "", ""
-        ids, spelled = zip(*map(self.chunks.__getitem__, chunks), strict=True)
-        return " ".join(ids), " ".join(spelled)
+        return "" if chunks == [""] else " ".join(map(self.chunks.__getitem__, chunks))
 
     def coded(self, text: str) -> tuple[str, str]:
         """The ids and the decoded text, each joined by one space."""
         if self.cut is None or not self.cut.search(text):
-            return self._piece(text)
-        both, at = [], 0
-        for m in self.cut.finditer(text):
-            both += [self._piece(text[at : m.start()]), (str(self.special[m[0]]), m[0])]
-            at = m.end()
-        both.append(self._piece(text[at:]))
-        ids, spelled = zip(*[x for x in both if x[0]], strict=True)
-        return " ".join(ids), " ".join(spelled)
+            ids = self._piece(text)
+        else:
+            parts, at = [], 0
+            for m in self.cut.finditer(text):
+                parts += [self._piece(text[at : m.start()]), str(self.special[m[0]])]
+                at = m.end()
+            parts.append(self._piece(text[at:]))
+            ids = " ".join([x for x in parts if x])
+        return ids, self._spelled(ids)
+
+    def _spelled(self, ids: str) -> str:
+        return " ".join(map(self.labels.__getitem__, ids.split()))
 
     def encode(self, text: str) -> list[int]:
-        ids = self.coded(text)[0]
-        return [int(x) for x in ids.split()]
+        return [int(x) for x in self.coded(text)[0].split()]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.labels[i] for i in ids])
+        return self._spelled(" ".join(map(str, ids)))
 
 
 def read_tokenizer(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[str, int]]:
@@ -365,25 +363,28 @@ def default_path() -> str:
 
 
 @cache
-def coder(path: str) -> Coder:
+def coder(path: str, kept: int = CHUNKS_KEPT) -> Coder:
     """One for each Python worker: the transition table and the words seen stay from task to task."""
-    return Coder(*read_tokenizer(path))
+    made = Coder(*read_tokenizer(path), kept)
+    give_back()
+    return made
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False, kept: int = CHUNKS_KEPT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 (and token_ids, if ids) for each row of docs.
 
     docs needs doc_id and text; other columns are dropped, so names can't clash. A null or
     empty text has no tokens and the hash of the empty string. Rows are independent: repeated
     rows and null ids give repeated rows and null ids. A text is held whole in one worker. The
-    tokenizer file must be at the path on every executor.
+    tokenizer file must be at the path on every executor. A worker keeps the ids of 3 * kept
+    chunks and words at most: fewer take less memory and more time, the result is the same.
     """
     path = path or default_path()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entering("bpe", coder.cache_clear)
-        own = coder(path)
+        own = coder(path, kept)
         for batch in batches:
             rows = []
             for text in batch["text"]:

@@ -367,6 +367,14 @@ def _parts(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
+def places(windows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where each window begins, phrase by phrase; numbers of 32 bits if they do, as a bucket's windows are many."""
+    kind = np.int32 if int(size.sum(dtype=np.int64)) < 1 << 31 else np.int64
+    at = np.repeat(np.cumsum(size - windows, dtype=kind) - (size - windows).astype(kind), windows)
+    at += np.arange(len(at), dtype=kind)
+    return at
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     """Windows of a bucket's phrases in the order of their bytes: to each chunk, for its windows, whether an equal one begins in a smaller document."""
     bucket = table["bucket"][0].as_py()
@@ -378,7 +386,7 @@ def _ordered(table: pa.Table) -> pa.Table:
     del got
     size = windows + (LENGTH - 1)
     phrase = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
-    at = np.arange(len(phrase), dtype=np.int64) + np.repeat(np.cumsum(size, dtype=np.int64) - size - (np.cumsum(windows, dtype=np.int64) - windows), windows)
+    at = places(windows, size)
     again = np.zeros(len(phrase), bool)
     for own in _parts(data, at):
         order, new = suffix_array(data, at[own])

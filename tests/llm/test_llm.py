@@ -344,6 +344,29 @@ def test_a_source_at_its_cap(spark):
     assert one.loc["a"].tolist() == [90.0, 90] and one.loc["b"].tolist() == [510.0, 510]
 
 
+def test_bpe_tables_are_bounded(monkeypatch):
+    """Few entries, of ids alone, and the same result; the pipeline's last stage asks for fewer than op9_bpe."""
+    import corpus_pipeline
+
+    random = np.random.default_rng(8)
+    words = ["".join(random.choice(list("aeinrst"), 9)) + end for end in ("", ".", "'s", "é", "1-") for _ in range(300)]
+    texts = [" ".join(random.choice(words, 60)) for _ in range(100)] + ["", " ", "x<|endoftext|> y", "<|endoftext|>"]
+    few, many = bpe.coder(bpe.default_path(), 50), bpe.coder(bpe.default_path())
+    assert [few.coded(x) for x in texts] == [many.coded(x) for x in texts] == [(" ".join(map(str, many.encode(x))), many.decode(many.encode(x))) for x in texts]
+    assert len(few.chunks) + len(few.chunks.old) <= 100 and len(few.words) + len(few.words.old) <= 50 and len(few.automaton.heads) <= 50
+    assert {type(x) for table in (few.chunks, few.words, many.chunks, many.words) for x in table.values()} == {str}
+    monkeypatch.setattr(bpe, "encode_documents", lambda docs, **named: named)
+    monkeypatch.setattr(corpus_pipeline, "small_batches", lambda spark: None)
+    assert 3 * corpus_pipeline.bpe_encoding(None, None, "")["kept"] < bpe.CHUNKS_KEPT
+
+
+def test_places_of_windows_take_32_bits():
+    windows = np.array([3, 1, 4], np.int32)
+    at = repeats.places(windows, windows + (repeats.LENGTH - 1))
+    assert at.tolist() == [0, 1, 2, 52, 102, 103, 104, 105] and at.dtype == np.int32
+    assert repeats.places(windows, np.array([1 << 30, 1 << 30, 60], np.int32)).dtype == np.int64
+
+
 def test_pipeline_stages(spark, tiny):
     import corpus_pipeline
 
