@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -40,6 +41,28 @@ def test_typewriter_is_one_run_with_its_longest_text():
     assert [r["text"] for r in got] == ["hello world"]
 
 
+def test_pairs_one_by_one_score_as_arrays_do():
+    pick = random.Random(5)
+    for _ in range(2000):
+        a, b = ((x := pick.choice([0.0, 5.0, 12.5]), y := pick.choice([0.0, 3.0]), x + pick.choice([0.0, 40.0, 47.0, 80.0]), y + pick.choice([0.0, 20.0, 34.0, 36.0])) for _ in range(2))
+        assert runs._place_score(b, a) == runs.place_scores(np.array([a]), np.array([b]))[0, 0]
+        assert runs._could_grow(a, b) == runs.could_grow(np.array([a]), np.array([b]))[0, 0]
+
+
+def test_fuzzy_runs_open_no_frame_for_a_stream_or_tick(spark, monkeypatch):
+    """Thousands of short streams in one task, against each stream alone; a frame a stream or tick costs about a millisecond each."""
+    pick = random.Random(6)
+    rows = [(s if s else None, k * 60 + pick.randrange(90), pick.choice(["hello", "hello w", "other"]), pick.random(), (pick.choice([0.0, 4.0]), 0.0, pick.choice([60.0, 90.0]), 20.0)) for s in range(3000) for k in range(6)]
+    df = spark.createDataFrame(rows, "stream_id long, t_us long, text string, conf double, box struct<x0: double, y0: double, x1: double, y1: double>").coalesce(1)
+    got = runs.fuzzy_runs(df, 100)
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want = []
+    for s in range(3000):
+        want += [(s or None, r["t_start"], r["t_end"], r["text"], r["n_obs"], r["conf"]) for r in runs.fuzzy_runs_of(ticks(*[r[1:] for r in rows if r[0] == (s or None)]) if s < 40 or s > 2990 else ticks(), 100)]
+    chosen = {x for x in range(3000) if x < 40 or x > 2990}
+    assert sorted(map(repr, (tuple(r) for r in got.collect() if (r.stream_id or 0) in chosen))) == sorted(map(repr, want))
+
+
 def test_sliding_windows_are_stitched():
     assert texts.stitch(["thequickbrown", "quickbrownfox", "brownfoxjumps"]) == "thequickbrownfoxjumps"
 
