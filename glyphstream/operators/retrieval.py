@@ -3,25 +3,94 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.texts import grams, pieces
+from ..functions.texts import grams, pieces, window_hashes
 from .intervals import islands
 
 
+# Bits of the table of grams (4 MB), characters hashed at once.
+GRAM_BITS, GRAM_CHARS = 25, 1 << 18
+
+
+def _chunks(texts: list[str], n: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, parts) of up to about GRAM_CHARS characters; the parts have each place where n characters begin once."""
+    rows, parts, size = [], [], 0
+    for k, text in enumerate(texts):
+        for i in range(0, len(text) - n + 1, GRAM_CHARS):
+            rows.append(k)
+            parts.append(text[i : i + GRAM_CHARS + n - 1])
+            size += len(parts[-1])
+            if size >= GRAM_CHARS:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _places(whole: str, n: int) -> np.ndarray:
+    """The bit of the n characters from each place on."""
+    return (window_hashes(whole, n) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - GRAM_BITS)
+
+
+def gram_table(texts: DataFrame, n: int) -> np.ndarray:
+    """A bit set for each n-gram of a text column, 2 ** GRAM_BITS in all. Other grams may have a bit that is set, none of these has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << GRAM_BITS, bool)
+        for b in batches:
+            for _, parts in _chunks(b.column(0).to_pylist(), n):
+                for part in parts:
+                    bits[_places(part, n)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+    table = np.zeros(1 << GRAM_BITS >> 3, np.uint8)
+    for r in texts.where(F.col(texts.columns[0]).isNotNull()).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        table |= np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+def grams_in(table: np.ndarray, library: DataFrame, n: int) -> DataFrame:
+    """(item_id, gram) of the library's n-grams with a bit in the table; a gram once or more an item. Characters are hashed as arrays, and only what passes becomes a string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, parts in _chunks(b.column("text").to_pylist(), n):
+                whole = "".join(parts)
+                ends = np.cumsum([len(x) for x in parts])
+                at = _places(whole, n)
+                at = np.flatnonzero((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                part = np.searchsorted(ends, at, "right")
+                # What reaches into the next text is no gram of either.
+                inside = at + n <= ends[part]
+                at, part = at[inside].tolist(), part[inside]
+                if at:
+                    ids = b.column("item_id").take(pa.array(np.asarray(rows)[part]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([whole[i : i + n] for i in at], pa.string())], ["item_id", "gram"])
+
+    schema = StructType([StructField("item_id", library.schema["item_id"].dataType), StructField("gram", StringType())])
+    return library.select("item_id", "text").where("text is not null").mapInArrow(run, schema)
+
+
 def ngram_candidates(queries: DataFrame, library: DataFrame, n: int = 5, share: float = 0.25, least: int = 2, top: int = 6, most_df: int | None = None) -> DataFrame:
     """(q_id, item_id, n_shared): the `top` library items sharing most distinct n-grams with each query, at least max(least, share of the query's grams).
 
-    Both sides are exploded to grams and joined on them; the shared ones are counted before any
-    ranking. With most_df, grams of more library items than that are left out on both sides.
+    The queries are exploded to grams, and a table of bits of a fixed size tells which of the
+    library's grams can be among them; those are joined on the grams themselves, and the shared
+    ones are counted before any ranking. With most_df, grams of more library items than that are
+    left out on both sides.
     """
-    cut = lambda df, key: df.select(key, F.explode(pieces(F.col("text"), n)).alias("p")).select(key, F.explode(grams(F.col("p"), n)).alias("gram"))
-    lib, own = cut(library, "item_id"), cut(queries, "q_id").distinct()
+    own = queries.select("q_id", F.explode(pieces(F.col("text"), n)).alias("p")).select("q_id", F.explode(grams(F.col("p"), n)).alias("gram")).distinct()
+    lib = grams_in(gram_table(queries.select("text"), n), library, n)
     if most_df is not None:
         often = lib.distinct().groupBy("gram").agg(F.count("*").alias("_df")).where(F.col("_df") > most_df).select("gram")
         lib = lib.join(often, "gram", "left_anti")

@@ -67,6 +67,32 @@ def test_sliding_windows_are_stitched():
     assert texts.stitch(["thequickbrown", "quickbrownfox", "brownfoxjumps"]) == "thequickbrownfoxjumps"
 
 
+def test_window_hashes_tell_windows_apart():
+    text = "".join(random.Random(4).choices("ab世𝄞 ", k=3000))
+    for n in (1, 2, 3, 5, 12, 13):
+        got = texts.window_hashes(text, n).tolist()
+        windows = [text[i : i + n] for i in range(len(text) - n + 1)]
+        assert len(got) == len(windows) and len(set(zip(got, windows, strict=True))) == len(set(got)) == len(set(windows))
+    assert len(texts.window_hashes("abc", 5)) == len(texts.window_hashes("", 1)) == 0
+
+
+def test_only_grams_of_queries_are_joined(spark):
+    """Few of the library's grams leave the first step; none of a query's is lost, whatever the texts' lengths, and none spans two texts."""
+    pick = random.Random(8)
+    lines = ["".join(pick.choices("abcd世𝄞 ", k=k)) for k in (0, 4, 5, 300, 3000, retrieval.GRAM_CHARS + 30_000)] + [None]
+    ask = [lines[5][-40:], lines[3][:90], "abcd", "no such words at all", lines[4][-3:] + lines[5][:3], None]
+    queries = spark.createDataFrame(list(enumerate(ask)), "q_id long, text string")
+    library = spark.createDataFrame([(f"i{k}", x) for k, x in enumerate(lines)], "item_id string, text string").coalesce(1)
+    cut = lambda x: {x[i : i + 5] for i in range(len(x or "") - 4)}
+    wanted = set().union(*map(cut, ask))
+    got = {tuple(r) for r in retrieval.grams_in(retrieval.gram_table(queries.select("text"), 5), library, 5).collect()}
+    every = {(f"i{k}", g) for k, x in enumerate(lines) for g in cut(x)}
+    assert {x for x in every if x[1] in wanted} <= got <= every and len(got) < 0.1 * len(every)
+    hits = {(r.q_id, r.item_id, r.n_shared, r.n_grams) for r in retrieval.ngram_candidates(queries, library, n=5).collect()}
+    want = {(q, f"i{k}", len(cut(a) & cut(x)), len(cut(a))) for q, a in enumerate(ask) for k, x in enumerate(lines) if len(cut(a) & cut(x)) >= max(2, 0.25 * len(cut(a)))}
+    assert hits == want
+
+
 def test_ordered_match_follows_the_script():
     lines = ["alpha one line", "beta two line", "gamma three line", "delta four line"]
     assert retrieval.ordered_match_of(["alpha one lin", "gamma three", "zzzzqqqq"], lines) == [0, 2, -1]
