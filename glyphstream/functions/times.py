@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 SECOND = 1_000_000
 
 
@@ -39,9 +44,28 @@ def in_grid(frame: Column, p: int, q: int) -> Column:
     return (grid_frame(k, p, q) == frame) | (grid_frame(k + 1, p, q) == frame)
 
 
+# An approximate rank is off by at most one row in so many.
+ACCURACY = 5000
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """keys and the value at the half-even rounded rank q * (n - 1) of each group. Equal values are counted before the shuffle, and running counts find the rank, so no group is gathered."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumns({"_n": F.sum("_c").over(w), "_upto": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
-    return counts.where(F.col("_upto") > F.bround(q * (F.col("_n") - 1))).groupBy(*keys).agg(F.min(value).alias(name))
+    """keys and the number at the half-even rounded rank q * (n - 1) of each group.
+
+    Approximate ranks around q cut each group in three; the rows of each part are counted, and
+    only the values of the part that has the rank are told apart and ordered. The counts decide
+    which part that is, so the result is exact wherever the cuts fall.
+    """
+    v, w = F.col(value), Window.partitionBy(*keys)
+    rows = rows.where(v.isNotNull()).select(*keys, value)
+    same = lambda t: reduce(and_, (F.col(k).eqNullSafe(t[f"_{k}"]) for k in keys))
+    around = [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(v, around, ACCURACY).alias("_p")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_p")[0].alias("_lo"), F.col("_p")[1].alias("_hi"))
+    cuts = written(cuts, "cuts")
+    part = F.when(v < F.col("_lo"), 0).when(v <= F.col("_hi"), 1).otherwise(2)
+    parts = rows.join(cuts, same(cuts)).groupBy(*keys, "_lo", "_hi", part.alias("_part")).agg(F.count("*").alias("_c"))
+    parts = parts.withColumns({"_rank": F.bround(q * (F.sum("_c").over(w) - 1)), "_before": F.sum("_c").over(w.orderBy("_part")) - F.col("_c")})
+    parts = parts.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    parts = written(parts.select(*(F.col(k).alias(f"_{k}") for k in keys), "_lo", "_hi", "_part", (F.col("_rank") - F.col("_before")).alias("_rest")), "parts")
+    counts = rows.join(parts, same(parts)).where(part == F.col("_part")).groupBy(*keys, value).agg(F.count("*").alias("_c"), F.first("_rest").alias("_rest"))
+    counts = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return counts.where(F.col("_upto") > F.col("_rest")).groupBy(*keys).agg(F.min(value).alias(name))

@@ -163,6 +163,25 @@ def test_nearest_rank_is_half_even(spark):
     assert [tuple(r) for r in times.nearest_rank(df, ["k"], "v", 0.5, "p").collect()] == [(1, 10)]
 
 
+def test_nearest_rank_orders_few_values(spark, tmp_path, monkeypatch):
+    """Against sorting, with null keys, ties, tiny groups and cuts that miss the rank; where cuts hold, few of many values reach the window."""
+    pick = random.Random(9)
+    data = [(k, x) for k, n in ((1, 20_000), (2, 7), (3, 1), (None, 500)) for x in (pick.choice([float(pick.randint(0, 9)), pick.expovariate(1e-3)]) for _ in range(n))] + [(4, None)]
+    df = spark.createDataFrame(data, "k long, v double")
+    sizes = []
+    kept = times.written
+    monkeypatch.setattr(times, "written", lambda t, name: sizes.append(kept(t, name)) or sizes[-1])
+    for q in (0.0, 0.37, 0.5, 0.9, 1.0):
+        got = {r.k: r.p for r in times.nearest_rank(df, ["k"], "v", q, "p").collect()}
+        groups = {k: sorted(x for g, x in data if g == k and x is not None) for k in (1, 2, 3, None)}
+        assert got == {k: x[round(q * (len(x) - 1))] for k, x in groups.items()}
+    cut = next(r for r in sizes[6].collect() if r["_k"] == 1)
+    assert len({x for k, x in data if k == 1 and cut["_lo"] <= x <= cut["_hi"]}) < 100
+    off = lambda t, name: kept(t.withColumns({"_lo": F.lit(-2.0), "_hi": F.lit(-1.0)}) if name == "cuts" else t, name)
+    monkeypatch.setattr(times, "written", off)
+    assert {r.k: r.p for r in times.nearest_rank(df, ["k"], "v", 0.9, "p").collect()} == {k: x[round(0.9 * (len(x) - 1))] for k, x in groups.items()}
+
+
 def test_grid_has_the_ceilings(spark):
     got = [r.id for r in spark.range(12).where(times.in_grid(F.col("id"), 2, 5)).collect()]
     assert got == [0, 3, 5, 8, 10]
