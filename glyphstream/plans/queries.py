@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions import texts as X
 from ..functions import times as T
 from ..operators import audit, graph, intervals, regions, retrieval, runs
+from ..sources.scratch import written
 
 HOUR = 3600 * T.SECOND
 SAMPLE = 6 * HOUR
@@ -240,9 +241,10 @@ def box_pairs(spark, d):
  reach AS (SELECT id, id AS to_ FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.to_) SELECT id, min(to_) AS component FROM reach GROUP BY 1""")
 def connected_components(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "value")
-    # Event ids have no holes, so the next event is found by an equi-join and not by one global sort.
+    # Event ids have no holes, so the next event is found by an equi-join and not by one global sort. The few events that lead on are a table, so that joins know its size.
     nxt = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("n"))
-    edges = e.where("value > 250").join(nxt, "event_id").select(F.lit(0).alias("g"), F.col("user_id").alias("a"), F.col("n").alias("b"))
+    leads = written(e.where("value > 250").select("event_id", "user_id"), "leads")
+    edges = leads.join(nxt, "event_id").select(F.lit(0).alias("g"), F.col("user_id").alias("a"), F.col("n").alias("b"))
     return graph.components(e.select(F.lit(0).alias("g"), F.col("user_id").alias("id")).distinct(), edges, ["g"]).select("id", "component")
 
 

@@ -141,6 +141,31 @@ def test_reach_has_no_limit_of_steps_and_ends_on_cycles(spark):
     assert got == {(a, b): b - a for a in range(40) for b in range(a, 41)} | ring
 
 
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    """Both ways against a plain search; few edges need no rounds."""
+    pick = random.Random(11)
+    links = [(g, pick.randrange(80), pick.randrange(80)) for g in (0, 1) for _ in range(45)] + [(1, k + 100, k + 101) for k in range(30)]
+    ids = [(g, k) for g in (0, 1) for k in range(135)]
+    want = {x: x[1] for x in ids}
+    for _ in ids:
+        for g, a, b in links:
+            want[g, a] = want[g, b] = min(want[g, a], want[g, b])
+    nodes, edges = spark.createDataFrame(ids, "g int, id long"), spark.createDataFrame(links, "g int, a long, b long")
+    got = [graph.components(nodes, edges, ["g"])]
+    in_rounds = graph._rounds
+    monkeypatch.setattr(graph, "ONE_TASK", 10)
+    got.append(graph.components(nodes, edges, ["g"]))
+    for df in got:
+        assert df.columns == ["g", "id", "component"] and {(r.g, r.id): r.component for r in df.collect()} == want
+    monkeypatch.undo()
+
+    def none(*_):
+        raise AssertionError("rounds for few edges")
+
+    monkeypatch.setattr(graph, "_rounds", none)
+    assert graph.components(nodes, edges, ["g"]).count() == len(ids) and in_rounds is not none
+
+
 def test_footprints_first_created_wins():
     rows = pd.DataFrame([(0, 0, 10, 10), (1, 0, 11, 10), (50, 50, 60, 60)], columns=["x0", "y0", "x1", "y1"])
     assert regions.footprints_of(rows) == [0, 0, 1]
